@@ -5,10 +5,12 @@ from __future__ import annotations
 from .licenses import op1_licenses
 from .packing import op7_packing
 from .quality import op10_quality
+from .sharding import op6_sharding
 from .simhash import op9_simhash
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
