@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from . import warc
+from .chat import op3_chat
 from .licenses import op1_licenses
 from .packing import op7_packing
 from .quality import op10_quality
 from .sharding import op6_sharding
 from .simhash import op9_simhash
+from .warc import op5_warc
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op3_chat": op3_chat,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**warc.SQL}
