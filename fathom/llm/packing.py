@@ -18,6 +18,8 @@ An empty table gives no pieces. Columns other than the key and the text are not
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,49 +31,92 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, ids binary, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
+#: Words of letters that composition and lower-casing take one by one, perhaps with a full stop or comma that stands apart as a token.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level BPE writes for bytes: printable Latin-1 stands for itself, the others follow from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
 class WordBpe:
-    """Ids of whole texts by a public tokenizer whose pieces never cross white space.
+    """Ids of whole texts by a public byte-level BPE tokenizer whose tokens never cross white space.
 
-    Words are encoded once while they stay in the cache, whose size is bounded; new words of a batch go to
-    the tokenizer together, with a mark between them.
+    Words are encoded once while they stay in the cache, whose size is bounded. New words of plain letters
+    go to the tokenizer's model, all others to the whole tokenizer, with a mark between them.
     """
 
     MARK = "\x01"
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters = self.of.model, _byte_letters()
         self.cache, self.known = cache, {}
         (self.mark,) = self.of.encode(self.MARK, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.MARK in w]
+    def _letters(self, word: str) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            form = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            got = self.known[word] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return got
+
+    def _learn(self, words: set[str]) -> None:
+        rest = []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                got = self._letters(m[1].lower())
+                self.known[w] = got + self._rest([m[2]])[0] if m[2] else got
+            else:
+                rest.append(w)
+        self.known.update(zip(rest, self._rest(rest), strict=True))
+
+    def _rest(self, words: list[str]) -> list[bytes]:
+        if len(words) == 1 and words[0] in self.known:
+            return [self.known[words[0]]]
+        out: dict[str, bytes] = {}
         plain = [w for w in words if self.MARK not in w]
-        for k in range(0, len(plain), 20_000):
-            some = plain[k : k + 20_000]
-            ids = np.array(self.of.encode(f" {self.MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark).tolist()
+        parts = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        for part, got in zip(parts, self.of.encode_batch_fast([f" {self.MARK} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
             raw, at = ids.tobytes(), 0
-            for w, e in zip(some, [*ends, len(ids)], strict=True):
-                self.known[w] = raw[4 * at : 4 * e]
+            for w, e in zip(part, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
+                out[w] = raw[4 * at : 4 * e]
                 at = e + 1
-        for w in odd:
-            self.known[w] = np.array(self.of.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        for w in words:
+            if w not in out:
+                out[w] = np.array(self.of.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(words) == 1:
+            self.known.update(out)
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
         if len(self.known) > self.cache:
             self.known.clear()
-        new = {w for words in split for w in words if w not in self.known}
-        self._learn(list(new))
+        self._learn({w for words in split for w in words}.difference(self.known))
         get = self.known.__getitem__
         for words in split:
             yield np.frombuffer(b"".join(map(get, words)), np.uint32)
 
 
+_ENCODERS: dict[str, WordBpe] = {}
+
+
+def encoder_of(path: str) -> WordBpe:
+    """One encoder for each process: Python workers are used again for other tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordBpe(path)
+    return _ENCODERS[path]
+
+
 class Packer:
     """Packs a stream of (key, ids, loss or None); emits (key, start, ids, doc_tokens, loss tokens, sequence, offset)."""
 
@@ -185,7 +230,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordBpe(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 32, **limits)
         names = [x.split()[0] for x in PIECES.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
