@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import warc
 from .chat import op3_chat
 from .licenses import op1_licenses
+from .linededup import op8_line_dedup
 from .packing import op7_packing
 from .quality import op10_quality
 from .sharding import op6_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
