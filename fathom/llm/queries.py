@@ -10,10 +10,12 @@ from .packing import op7_packing
 from .quality import op10_quality
 from .sharding import op6_sharding
 from .simhash import op9_simhash
+from .toxicity import op2_toxicity
 from .warc import op5_warc
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
