@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 OPEN, SEP, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of this template and of others; a backslash goes behind their first character.
 CONTROL = r"<(?=\|(?:turn|text|end|im_start|im_end|endoftext|startoftext|system|user|assistant)\|>|/?s>|</?SYS>>)|\[(?=/?INST\])"
@@ -45,41 +47,54 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     grouped = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    n = F.size("ts")
-    numbers = F.sequence(F.lit(0), n - 1)
-    # The running sum of tokens starts anew where a span begins; the array of begins is copied only there.
-    system = F.when(F.col("ts")[0]["role"] == "system", F.lit(1)).otherwise(F.lit(0))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
 
-    def step(state: Column, t: Column) -> Column:
-        i, used = state["i"], state["used"]
-        room = F.lit(budget) - F.when(F.size(state["starts"]) <= 1, F.lit(0)).otherwise(F.lit(history) + F.col("held"))
-        new = (F.size(state["starts"]) == 0) | ((used > 0) & (used + t["tokens"] > room))
-        return F.struct(F.when(new, t["tokens"]).otherwise(used + t["tokens"]).alias("used"), F.when(new, F.concat(state["starts"], F.array(i))).otherwise(state["starts"]).alias("starts"), (i + 1).alias("i"))
+    def spans(ts: Column, first: Column) -> Column:
+        """Where the windows' spans begin, from the running sum of tokens; the array is copied only there."""
+        held = F.when(first == 1, ts[0]["tokens"]).otherwise(F.lit(0).cast("long"))
+
+        def step(state: Column, t: Column) -> Column:
+            i, used = state["i"], state["used"]
+            room = F.lit(budget) - F.when(F.size(state["starts"]) <= 1, F.lit(0)).otherwise(F.lit(history) + held)
+            new = (i == 0) | ((used > 0) & (used + t["tokens"] > room))
+            return F.struct(F.when(new, t["tokens"]).otherwise(used + t["tokens"]).alias("used"), F.when(new, F.concat(state["starts"], F.array(i))).otherwise(state["starts"]).alias("starts"), (i + 1).alias("i"))
 
-    cut = grouped.withColumn("first", system).withColumn("held", F.when(F.col("first") == 1, F.col("ts")[0]["tokens"]).otherwise(F.lit(0).cast("long")))
-    cut = cut.withColumn("starts", F.aggregate("ts", start, step, lambda s: s["starts"]))
+        return F.aggregate(ts, start, step, lambda s: s["starts"])
 
-    def window(begin: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(F.col("starts"), k + 1), n)
-        # The repeated turns: back from the span while their tokens stay within the history, the system turn apart.
-        back = F.aggregate(
-            F.reverse(F.slice(F.col("ts"), F.col("first") + 1, F.greatest(begin - F.col("first"), F.lit(0)))),
+    def back(ts: Column, first: Column, begin: Column) -> Column:
+        """Turns repeated before a span: back from it while their tokens stay within the history, the system turn apart.
+
+        A turn has 4 tokens at least, so no more than history / 4 turns are looked at.
+        """
+        low = F.greatest(first, begin - history // 4)
+        return F.aggregate(
+            F.reverse(F.slice(ts, low + 1, F.greatest(begin - low, F.lit(0)))),
             F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("count")),
             lambda s, t: F.struct((s["sum"] + t["tokens"]).alias("sum"), F.when(s["sum"] + t["tokens"] <= history, s["count"] + 1).otherwise(s["count"]).alias("count")),
             lambda s: s["count"],
         )
-        old = F.filter(numbers, lambda i: ((i < F.col("first")) & (begin > 0)) | ((i >= F.greatest(begin - back, F.col("first"))) & (i < begin)))
-        fresh = F.filter(numbers, lambda i: (i >= begin) & (i < end))
-        places = F.concat(old, fresh)
-        return F.struct(
-            F.array_join(F.transform(places, lambda i: F.concat(F.lit(OPEN), escape(F.col("ts")[i]["role"]), F.lit(SEP), escape(F.col("ts")[i]["text"]), F.lit(CLOSE))), "").alias("formatted"),
-            places.alias("turns"),
-            F.transform(places, lambda i: i >= begin).alias("fresh"),
-            F.transform(places, lambda i: (i >= begin) & (F.col("ts")[i]["role"] == "assistant")).alias("loss"),
-        )
 
-    return cut.select("conv_id", F.transform("starts", window).alias("windows"))
+    def numbers(low: Column, high: Column) -> Column:
+        """low .. high - 1."""
+        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+
+    def window(ts: Column, first: Column, begin: Column, end: Column) -> Column:
+        kept = F.when(begin > 0, first).otherwise(F.lit(0))
+        places = F.concat(numbers(F.lit(0), kept), let(back(ts, first, begin), lambda n: numbers(begin - n, begin)), numbers(begin, end))
+        form = lambda i: let(ts[i], lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SEP), escape(t["text"]), F.lit(CLOSE)))
+        return let(places, lambda at: F.struct(
+            F.array_join(F.transform(at, form), "").alias("formatted"),
+            at.alias("turns"),
+            F.transform(at, lambda i: i >= begin).alias("fresh"),
+            F.transform(at, lambda i: (i >= begin) & (ts[i]["role"] == "assistant")).alias("loss"),
+        ))
+
+    def windows(ts: Column) -> Column:
+        first = F.when(ts[0]["role"] == "system", F.lit(1)).otherwise(F.lit(0))
+        of = lambda starts, f: F.transform(starts, lambda begin, k: window(ts, f, begin, F.coalesce(F.get(starts, k + 1), F.size(ts))))
+        return let(first, lambda f: let(spans(ts, f), lambda starts: of(starts, f)))
+
+    return grouped.select("conv_id", let(F.col("ts"), windows).alias("windows"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -95,7 +110,8 @@ def read_back(windows: DataFrame) -> DataFrame:
         ))
         return F.filter(parsed, lambda t: t["fresh"])
 
-    return windows.select("conv_id", F.flatten(F.transform("windows", turns)).alias("turns"), F.aggregate("windows", F.lit(0).cast("long"), lambda s, w: s + F.char_length(w["formatted"])).alias("formatted_chars"))
+    both = let(F.col("windows"), lambda ws: F.struct(F.flatten(F.transform(ws, turns)).alias("turns"), F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.char_length(w["formatted"])).alias("formatted_chars")))
+    return windows.select("conv_id", both.alias("r")).select("conv_id", "r.turns", "r.formatted_chars")
 
 
 def op3_chat(spark, sf_dir):
@@ -105,6 +121,8 @@ def op3_chat(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(chat_windows(turns))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    whole = lambda ts: F.array_join(F.transform(ts, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = lambda ts: F.array_join(F.transform(F.filter(ts, lambda t: t["loss"]), lambda t: t["text"]), "")
+    row = let(F.col("turns"), lambda ts: let(loss(ts), lambda x: F.struct(F.size(ts).cast("long").alias("n_turns"), digest(whole(ts)).alias("turns_sha256"), F.char_length(x).cast("long").alias("loss_chars"), digest(x).alias("loss_sha256"))))
+    return back.select("conv_id", row.alias("r"), "formatted_chars").select("conv_id", "r.*", "formatted_chars")
