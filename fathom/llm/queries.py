@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import warc
 from .chat import op3_chat
+from .decontaminate import op4_decontamination
 from .licenses import op1_licenses
 from .linededup import op8_line_dedup
 from .packing import op7_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
