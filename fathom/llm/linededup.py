@@ -5,14 +5,15 @@ a passage shared by two texts is cut alike in both, wherever it stands. Chunks t
 in the corpus are compared byte by byte and all but the first copy are removed.
 
 A chunk begins at a line, and ends before the next one, where the rolling hash over the line and the
-``window`` - 1 lines before it is 0 modulo ``modulus``, or where a line has ``long_words`` words or
-more: such a line is a passage of its own. The line that follows one is a beginning, too. Chunks with
-fewer than ``min_words`` words are never removed: short lines repeat by chance and are not passages.
+``window`` - 1 lines before it is 0 modulo ``modulus``, or where a line has ``long_bytes`` bytes or
+more: such a line is a passage of its own. The line that follows one is a beginning, too. Chunks of
+fewer than ``min_bytes`` bytes are never removed: short lines repeat by chance and are not passages.
 
 How it scales. Lines and chunks of a text are arrays in its row. What is shuffled is a hash and a place
 for each chunk long enough, combined map-side by hash, so that a chunk that a third of all rows share is
-one row per task. Only chunks whose hash repeats are compared by their bytes, each with the first of
-its hash, dealt over salts. Removals, a few numbers a text, are joined back by a key unique to the row.
+one row per task. Only chunks whose hash repeats are cut out and compared by their bytes, each with the
+first of its hash, dealt over salts. The texts are shuffled twice, by a key unique to the row: to cut
+out what is compared, and to remove what was equal. Both joins are merge joins at every size.
 
 Defined cases. A null text stays null, an empty one empty. A text of which all is removed becomes
 empty; the row stays. Repeated rows keep the text in the first of them. Repeated chunks within one
@@ -26,25 +27,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 from .graph import salted_join
 
 
-def _words(line: Column) -> Column:
-    """Words, as one more than the line's spaces and line ends."""
-    return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.translate(line, " \n", "")) + 1)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once; columns of earlier projections may be computed again wherever they are used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def chunks(text: Column, window: int, modulus: int, long_words: int) -> Column:
+def chunks(text: Column, window: int, modulus: int, long_bytes: int) -> Column:
     """The chunks of a text in order; joined by line ends they give the text."""
 
     def line(x: Column) -> Column:
-        return F.struct(x.alias("x"), F.xxhash64(x).alias("h"), (_words(x) >= long_words).alias("long"))
+        return F.struct(x.alias("x"), F.xxhash64(x).alias("h"), (F.octet_length(x) >= long_bytes).alias("long"))
 
     def begins(lines: Column) -> Callable[[Column, Column], Column]:
         def of(at: Column, i: Column) -> Column:
@@ -55,33 +46,39 @@ def chunks(text: Column, window: int, modulus: int, long_words: int) -> Column:
 
     def cut(lines: Column) -> Column:
         starts = F.filter(F.transform(lines, begins(lines)), lambda i: i.isNotNull())
-        return _let(starts, lambda at: F.transform(at, lambda s, i: F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(at, i + 1), F.size(lines)) - s), lambda x: x["x"]), "\n")))
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(at, i + 1), F.size(lines)) - s), lambda x: x["x"]), "\n")))
 
-    return _let(F.transform(F.split(text, "\n"), line), cut)
+    return let(F.transform(F.split(text, "\n"), line), cut)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", window: int = 2, modulus: int = 4, long_words: int = 40, min_words: int = 12) -> DataFrame:
-    """docs with the text's repeated chunks removed, and how many: __removed_chunks and __removed_words."""
+def dedup_lines(docs: DataFrame, text: str = "text", window: int = 2, modulus: int = 4, long_bytes: int = 240, min_bytes: int = 72) -> DataFrame:
+    """docs with the text's repeated chunks removed, and how much: __removed_chunks and __removed_bytes."""
     base = docs.withColumn("__row", F.monotonically_increasing_id())
-    pieces = base.select("__row", F.posexplode(chunks(F.col(text), window, modulus, long_words)).alias("place", "chunk")).where(_words(F.col("chunk")) >= min_words)
-    where = F.struct(F.col("__row").alias("row"), F.col("place").alias("place"))
-    hashed = pieces.select(F.xxhash64("chunk").alias("hash"), where.alias("at"))
-    repeated = hashed.groupBy("hash").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
-    repeated = written(repeated, "repeated")
-    copies = salted_join(pieces.select(F.xxhash64("chunk").alias("hash"), where.alias("at"), "chunk"), repeated, "hash", F.xxhash64("at"))
-    copies = written(copies, "copies")
-    originals = copies.where("at = first").select("hash", F.col("chunk").alias("original"))
-    same = salted_join(copies.where("at != first"), originals, "hash", F.xxhash64("at")).where("chunk = original")
-    removed = same.select(F.col("at.row").alias("__row"), "at.place", _words(F.col("chunk")).alias("words")).groupBy("__row").agg(F.collect_list("place").alias("__gone"), F.sum("words").cast("long").alias("__removed_words"))
-    joined = base.join(written(removed, "removed"), "__row", "left")
-    rest = _let(F.col("__gone"), lambda gone: F.filter(F.transform(chunks(F.col(text), window, modulus, long_words), lambda c, i: F.when(~F.array_contains(gone, i), c)), lambda c: c.isNotNull()))
+    of_text = chunks(F.col(text), window, modulus, long_bytes)
+    # A hash for each chunk long enough, null for the others.
+    hashes = F.transform(of_text, lambda c: F.when(F.octet_length(c) >= min_bytes, F.xxhash64(c)))
+    hashed = base.select("__row", F.posexplode(hashes).alias("place", "hash")).where("hash is not null")
+    hashed = written(hashed, "hashed")
+    at = F.struct(F.col("__row").alias("row"), F.col("place").alias("place"))
+    repeated = written(hashed.groupBy("hash").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first"), "repeated")
+    copies = salted_join(hashed, repeated, "hash", F.xxhash64("__row", "place"))
+    piece = F.struct("place", "hash", ((F.col("first.row") == F.col("__row")) & (F.col("first.place") == F.col("place"))).alias("is_first"))
+    wanted = written(copies.groupBy("__row").agg(F.collect_list(piece).alias("__wanted")), "wanted")
+    cut_out = base.select("__row", F.col(text).alias("__text")).join(wanted.hint("merge"), "__row")
+    pick = let(chunks(F.col("__text"), window, modulus, long_bytes), lambda cs: F.transform("__wanted", lambda w: F.struct(w["place"].alias("place"), w["hash"].alias("hash"), w["is_first"].alias("is_first"), F.get(cs, w["place"]).alias("chunk"))))
+    texts = written(cut_out.select("__row", F.explode(pick).alias("p")).select("__row", "p.*"), "texts")
+    originals = texts.where("is_first").select("hash", F.col("chunk").alias("original"))
+    same = salted_join(texts.where("not is_first"), originals, "hash", F.xxhash64("__row", "place")).where("chunk = original")
+    removed = written(same.groupBy("__row").agg(F.collect_list("place").alias("__gone"), F.sum(F.octet_length("chunk")).cast("long").alias("__bytes")), "removed")
+    joined = base.join(removed.hint("merge"), "__row", "left")
+    rest = let(F.col("__gone"), lambda gone: F.filter(F.transform(of_text, lambda c, i: F.when(~F.array_contains(gone, i), c)), lambda c: c.isNotNull()))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
     count = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    return joined.withColumns({text: cleaned, "__removed_chunks": count, "__removed_words": F.coalesce("__removed_words", F.lit(0).cast("long"))}).select(*docs.columns, "__removed_chunks", "__removed_words")
+    return joined.withColumns({text: cleaned, "__removed_chunks": count, "__removed_bytes": F.coalesce("__bytes", F.lit(0).cast("long"))}).select(*docs.columns, "__removed_chunks", "__removed_bytes")
 
 
 def op8_line_dedup(spark, sf_dir):
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("__removed_chunks").alias("removed_chunks"), F.col("__removed_words").alias("removed_words"))
+    return dedup_lines(docs).select("doc_id", "text", F.col("__removed_chunks").alias("removed_chunks"), F.col("__removed_bytes").alias("removed_bytes"))
