@@ -22,7 +22,7 @@ def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
     for y in range(h):
         d = np.diff(np.concatenate([[0], mask[y].astype(np.int8), [0]]))
         begin = len(runs)
-        runs += zip([y] * h, np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist())  # noqa: B905
+        runs += [(y, a, b) for a, b in zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)]
         of_row.append((begin, len(runs)))
     parent = list(range(len(runs)))
 

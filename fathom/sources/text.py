@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fathom import model as M
 from fathom.functions import exprs as E
@@ -20,7 +21,7 @@ def decoded(raw: Column) -> Column:
     return F.regexp_replace(F.coalesce(utf8, F.decode(raw, "ISO-8859-1")), "^﻿", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_windows(raw: pd.Series) -> pd.Series:
     """UTF-8, else Windows-1252, else Latin-1."""
 

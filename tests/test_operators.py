@@ -3,8 +3,8 @@
 import json
 import math
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from fathom.sources import geo, pages, sinks, text
 from fathom.streaming import gate
 
 
+START = datetime(2026, 1, 1)
+
+
 def test_square_with_hole(spark):
     polygons = spatial.ring_polygons(spark, {1: [[(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2)]]})
     points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.5, 1.5), (3, 9.0, 9.0)], "key int, x double, y double")
@@ -100,14 +103,14 @@ FIXES = {
 
 @pytest.mark.parametrize(("name", "want"), [("A", [("d", "b", "fallback"), ("f", "f", "delivered")]), ("B", [("b", "b", "delivered")])])
 def test_gate(spark, name, want):
-    rows = [(1, ord(e), pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=t), float(a)) for e, t, a in FIXES[name]]
+    rows = [(1, ord(e), START + timedelta(seconds=t), float(a)) for e, t, a in FIXES[name]]
     got = gate.gate_table(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, accuracy double")).where("emitted_id is not null").orderBy("event_id").collect()
     assert [(chr(r.event_id), chr(r.emitted_id), r.status) for r in got] == want
 
 
 def test_gate_stream_equals_table(spark, tmp_path):
     rng = random.Random(5)
-    rows = [(u, u * 100 + i, pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=3 * i), rng.choice([None, 5.0, 25.0, 40.0, 90.0])) for u in range(6) for i in range(12)]
+    rows = [(u, u * 100 + i, START + timedelta(seconds=3 * i), rng.choice([None, 5.0, 25.0, 40.0, 90.0])) for u in range(6) for i in range(12)]
     schema = "user_id long, event_id long, ts timestamp, accuracy double"
     df = spark.createDataFrame(rows, schema)
     for k in range(3):  # batches follow each other in time
@@ -121,7 +124,7 @@ def test_gate_stream_equals_table(spark, tmp_path):
 
 def test_track(spark):
     rng = random.Random(8)
-    rows = [(1, i, pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=i), rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(60)]
+    rows = [(1, i, START + timedelta(seconds=i), rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(60)]
     got = gate.track_table(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, x double, y double"), 1.0, 10).orderBy("i").collect()
     kept, last = [], None
     for _, i, _, x, y in rows:
