@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom import model as M
 from fathom.functions import exprs as E
-from fathom.operators import calibrate, curves, kernels, qc, raster, relational, spatial, tiles
+from fathom.operators import calibrate, curves, kernels, mapping, qc, raster, relational, spatial, tiles
 from fathom.plans import carriers as C
 from fathom.plans.carriers import NX, NY, sql
 from fathom.sources import pages, sinks, text
@@ -613,3 +613,74 @@ def geojson_points(spark, d):
     """Points as one feature collection; read back in the tests."""
     points = C.soundings(spark, d).groupBy("lon", "lat").agg(F.median("depth").alias("depth_m"), F.count(F.lit(1)).alias("n"), F.max("date").cast("string").alias("date"))
     return sinks.geojson_points(points.where("n >= 4"), "CC-BY")
+
+
+# Map work.
+
+
+@query("depth_bands", sql(_NODES + " SELECT CAST(floor(z / 5e-1) AS INT) AS band, count(*) AS cells FROM z GROUP BY 1", "soundings"))
+def depth_bands(spark, d):
+    return mapping.depth_bands(_interpolated(spark, d))
+
+
+@query("polygon_burn", sql(_INSIDE + " SELECT r.y, r.x, EXISTS (SELECT 1 FROM inside i WHERE i.y = r.y AND i.x = r.x) AS inside FROM raster r", "raster", "edges"))
+def polygon_burn(spark, d):
+    return mapping.burn(C.raster(spark, d), C.polygons(spark), 8.0).select("y", "x", "inside")
+
+
+@query("stable_interior", sql("b AS (SELECT DISTINCT a.y, a.x FROM raster a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx) ON true JOIN raster c ON c.y = a.y + dy AND c.x = a.x + dx WHERE a.k != c.k), g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM b, (SELECT * FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx))) SELECT y, x, k FROM raster r WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.y = r.y AND g.x = r.x)", "raster"))
+def stable_interior(spark, d):
+    return mapping.stable_interior(C.raster(spark, d), NY, NX).select("y", "x", "k")
+
+
+_HEX = ", ".join("'#%02x%02x%02x'" % c for c in M.DISPLAY_PALETTE)
+
+
+@query("class_strokes", sql(f"b AS (SELECT DISTINCT a.y, a.x FROM raster a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx) ON true JOIN raster c ON c.y = a.y + dy AND c.x = a.x + dx WHERE a.k != c.k) SELECT r.y, r.x, CASE WHEN b.y IS NOT NULL THEN '#244e5a' ELSE ([{_HEX}])[r.k + 1] END AS colour, CAST(CASE WHEN b.y IS NOT NULL THEN 210 ELSE 255 END AS INT) AS alpha FROM raster r LEFT JOIN b ON b.y = r.y AND b.x = r.x", "raster"))
+def class_strokes(spark, d):
+    return mapping.strokes(C.raster(spark, d))
+
+
+@query("patch_palette", sql("p AS (SELECT CAST(p_partkey % 40 AS INT) AS y, CAST(p_partkey % 30 AS INT) AS x, r, g, b FROM colours) SELECT CAST(k AS INT) AS k, median(r) AS r, median(g) AS g, median(b) AS b FROM p JOIN (VALUES (0, 2, 9, 3, 11), (1, 12, 19, 3, 11), (2, 22, 33, 5, 25)) v(k, y0, y1, x0, x1) ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY 1", "colours"))
+def patch_palette(spark, d):
+    pixels = C.colours(spark, d).select((F.col("p_partkey") % 40).cast("int").alias("y"), (F.col("p_partkey") % 30).cast("int").alias("x"), "r", "g", "b")
+    return mapping.patch_palette(pixels, spark.createDataFrame([(0, 2, 9, 3, 11), (1, 12, 19, 3, 11), (2, 22, 33, 5, 25)], "k int, y0 int, y1 int, x0 int, x1 int"))
+
+
+@query("classify_colours", sql(f"SELECT CAST(k AS INT) AS k, count(*) AS n, round(quantile_cont(distance, 0.95), 6) AS p95 FROM (SELECT CASE WHEN sqrt(n.d2) < 58 THEN n.k END AS k, sqrt(n.d2) AS distance FROM (SELECT list_min([{_NEAR}]) AS n FROM colours)) GROUP BY 1", "colours"))
+def classify_colours(spark, d):
+    pixels = C.colours(spark, d).withColumns({"y": F.lit(0), "x": F.col("p_partkey")})
+    return rounded(mapping.classify(pixels, M.DISPLAY_PALETTE, 58.0).groupBy("k").agg(F.count(F.lit(1)).alias("n"), *relational.percentiles(F.col("distance"), (0.95,))))
+
+
+@query("colour_inventory", sql(f"SELECT image, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r, round(avg(g), 6) AS mean_g, round(stddev_pop(g), 6) AS std_g, round(avg(b), 6) AS mean_b, round(stddev_pop(b), 6) AS std_b, round(avg(CASE WHEN sqrt(d2) < 30 THEN 1e0 ELSE 0e0 END), 6) AS within30, round(avg(CASE WHEN sqrt(d2) < 60 THEN 1e0 ELSE 0e0 END), 6) AS within60 FROM (SELECT p_partkey % 7 AS image, r, g, b, list_min([{_NEAR}]).d2 AS d2 FROM colours) GROUP BY 1", "colours"))
+def colour_inventory(spark, d):
+    return rounded(mapping.colour_inventory(C.colours(spark, d).withColumn("image", F.col("p_partkey") % 7), "image", M.DISPLAY_PALETTE))
+
+
+@query("open_water", sql(_INSIDE + " SELECT count(*) FILTER (EXISTS (SELECT 1 FROM inside i WHERE i.y = r.y AND i.x = r.x)) AS inside, count(*) AS n FROM raster r", "raster", "edges"))
+def open_water(spark, d):
+    cells, edges = _cells_with_key(spark, d)
+    mask = spatial.points_in_polygons(cells, edges, "cell", bin_size=8.0)
+    return mapping.open_water(cells, mask, "cell").agg(F.count_if("inside").alias("inside"), F.count(F.lit(1)).alias("n"))
+
+
+@query("size_ratio", "SELECT n.o_orderpriority AS priority, n.bytes, round(n.bytes / CAST(b.bytes AS DOUBLE), 6) AS ratio FROM (SELECT o_orderpriority, count(*) AS bytes FROM orders GROUP BY 1) n LEFT JOIN (SELECT o_orderpriority, count(*) AS bytes FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority != '1-URGENT' GROUP BY 1) b ON n.o_orderpriority = b.o_orderpriority")
+def size_ratio(spark, d):
+    sized = lambda df: df.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("bytes"))
+    o = C.table(spark, d, "orders")
+    return rounded(mapping.size_ratio(sized(o), sized(o.where("o_orderstatus = 'F' and o_orderpriority != '1-URGENT'")), "priority"))
+
+
+@query("layered_svg")
+def layered_svg(spark, d):
+    """One drawing of all rings; its paths are checked in svg_path."""
+    return mapping.layered_svg(C.rings(spark, d), 650, 480)
+
+
+@query("segment_map")
+def segment_map(spark, d):
+    """Classes of a map image, cleaned to its largest water body; its steps are tested on known shapes."""
+    p = C.colours(spark, d).select(F.lit(1).alias("map"), (F.col("p_partkey") % 40).cast("int").alias("y"), (F.col("p_partkey") % 37).cast("int").alias("x"), "r", "g", "b")
+    one = p.groupBy("map", "y", "x").agg(*(F.min(c).alias(c) for c in "rgb"))
+    return mapping.segment(one, "map", M.DISPLAY_PALETTE).select("y", "x", "k")
