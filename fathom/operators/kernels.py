@@ -7,10 +7,11 @@ fits a task. Components of larger rasters are labelled over the whole cluster by
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,15 +202,26 @@ def by_raster(cells: DataFrame, key: str, kernel: Callable[[np.ndarray], np.ndar
 
 
 def by_ring(points: DataFrame, keys: list[str], kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply a kernel to each ring (keys, i, x, y); it gives points (x, y)."""
+    """Apply a kernel to each ring (keys, i, x, y); it gives points (x, y).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        out = kernel(p[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({**{k: p[k].iloc[0] for k in keys}, "i": np.arange(len(out), dtype="int32"), "x": out[:, 0], "y": out[:, 1]})
+    A ring is a row of two arrays on its way to the kernel, so that a batch holds many rings.
+    """
+    ordered = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("ps"))
+    rings = ordered.select(*keys, F.transform("ps", lambda p: p["x"].cast("double")).alias("xs"), F.transform("ps", lambda p: p["y"].cast("double")).alias("ys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = b.column("xs"), b.column("ys")
+            at = xs.offsets.to_numpy()
+            every = np.column_stack([xs.values.to_numpy(zero_copy_only=False), ys.values.to_numpy(zero_copy_only=False)])
+            out = [kernel(every[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            row = np.repeat(np.arange(len(out)), [len(o) for o in out])
+            i = np.concatenate([np.arange(len(o), dtype="int32") for o in out]) if out else np.zeros(0, "int32")
+            p = np.concatenate(out) if out else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in keys), pa.array(i), pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*keys, "i", "x", "y"])
 
     schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    return points.select(*keys, "i", "x", "y").groupBy(*keys).applyInPandas(run, f"{schema}, i int, x double, y double")
+    return rings.mapInArrow(run, f"{schema}, i int, x double, y double")
 
 
 def components_by_blocks(mask: DataFrame, block: int = 512) -> DataFrame:
