@@ -70,14 +70,15 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """The key columns (longs) and f0, f1, ...: a long for each 64 bits."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: list[str] | None = None, repeats: bool = True) -> DataFrame:
+    """The key columns (longs) and f0, f1, ...: a long for each 64 bits. Without ``repeats`` every different shingle counts once."""
     keys = keys or ["doc_id"]
     names = [*keys, *(f"f{k}" for k in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.frombuffer(b"".join(fingerprint(shingle_hashes(t.as_py(), shingle), words) for t in b.column("text")), ">i8").reshape(-1, words)
+            hashes = (shingle_hashes(t.as_py(), shingle) for t in b.column("text"))
+            got = np.frombuffer(b"".join(fingerprint(h if repeats else np.unique(h), words) for h in hashes), ">i8").reshape(-1, words)
             yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), *(pa.array(got[:, k].astype(np.int64)) for k in range(words))], names=names)
 
     return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -110,27 +111,38 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
 BAND_MASKS = [0, *(1 << i for i in range(32))]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
-    """docs without all but one document, the one of smallest doc_id, of each group of near copies."""
+def most_apart(similarity: float, bits: int) -> int:
+    """Differing bits up to which a pair is taken for near copies.
+
+    Shingle sets of a Jaccard similarity have an angle, and each bit differs with a chance in proportion
+    to it; a standard deviation more keeps five of six pairs that are just as similar as asked.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 6) -> DataFrame:
+    """docs without all but one document, the one of smallest doc_id, of each group of near copies.
+
+    The first ``banded`` of the fingerprint's 64-bit words are cut into bands and ball-hashed; candidates
+    are verified by the distance over all ``words``.
+    """
     keyed = _row_keys(docs).select("__id", "__text", "text")
-    prints = written(fingerprints(keyed, shingle, words, ["__id", "__text"]), "fingerprints")
+    prints = written(fingerprints(keyed, shingle, words, ["__id", "__text"], repeats=False), "fingerprints")
     fs = [f"f{k}" for k in range(words)]
     node = F.xxhash64(*fs).alias("node")
     distinct = checkpointed(prints.groupBy(*fs).agg(F.min(F.struct("__id", "__text")).alias("first")).select(node, "first", *fs))
-    bands = F.array(*(x for k in range(words) for x in (F.col(f"f{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"f{k}"), 32))))
+    bands = F.array(*(x for k in range(banded) for x in (F.col(f"f{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"f{k}"), 32))))
     keys = F.flatten(F.transform(bands, lambda band, i: F.transform(F.array(*(F.lit(m) for m in BAND_MASKS)), lambda m: F.shiftleft(i.cast("long"), 32).bitwiseXOR(band.bitwiseXOR(m)))))
     variants = distinct.select("node", F.explode(keys).alias("variant"))
     by = Window.partitionBy("variant")
     met = variants.select("node", F.min("node").over(by).alias("least"), F.max("node").over(by).alias("most")).where("least != most")
     pairs = met.select("node", F.explode(F.array("least", "most")).alias("other")).where("node != other")
     pairs = checkpointed(pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct())
-    # Shingle sets of this Jaccard similarity have this angle, and SimHash bits differ in proportion to it.
-    cosine = 2 * similarity / (1 + similarity)
-    most = round(64 * words * math.acos(cosine) / math.pi)
     left = distinct.select(F.col("node").alias("u"), *(F.col(f).alias(f"u{f}") for f in fs))
     right = distinct.select(F.col("node").alias("v"), *(F.col(f).alias(f"v{f}") for f in fs))
     apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
-    found = pairs.join(left, "u").join(right, "v").where(apart <= most).select("u", "v")
+    found = pairs.join(left, "u").join(right, "v").where(apart <= most_apart(similarity, 64 * words)).select("u", "v")
     roots = checkpointed(components(found))
     rooted = checkpointed(distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
     stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
