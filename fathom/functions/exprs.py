@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -73,22 +74,26 @@ def similarity(x: Column, y: Column, cx: float, cy: float, dx: Column, dy: Colum
     return F.cos(theta) * u - F.sin(theta) * v + cx + dx, F.sin(theta) * u + F.cos(theta) * v + cy + dy
 
 
-def lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Lambert-93 easting and northing of WGS84, in closed form."""
-    import math
-
+def lambert93_constants() -> tuple[float, float, float, float]:
+    """Exponent, radius factor, northing of the pole, and eccentricity."""
     a, e = 6378137.0, math.sqrt(2 / 298.257222101 - (1 / 298.257222101) ** 2)
     iso = lambda p: math.log(math.tan(math.pi / 4 + p / 2) * ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2))
     scale = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
     p0, p1, p2 = math.radians(46.5), math.radians(44.0), math.radians(49.0)
     n = math.log(scale(p1) / scale(p2)) / (iso(p2) - iso(p1))
     c = a * scale(p1) / n * math.exp(n * iso(p1))
+    return n, c, 6600000.0 + c * math.exp(-n * iso(p0)), e
+
+
+def lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Lambert-93 easting and northing of WGS84, in closed form."""
+    n, c, pole, e = lambert93_constants()
     p = F.radians(lat)
     s = F.sin(p) * e
     length = F.log(F.tan(p / 2 + math.pi / 4)) + F.log((F.lit(1.0) - s) / (F.lit(1.0) + s)) * (e / 2)
     r = F.exp(length * -n) * c
     g = F.radians(lon - 3.0) * n
-    return r * F.sin(g) + 700000.0, F.lit(6600000.0 + c * math.exp(-n * iso(p0))) - r * F.cos(g)
+    return r * F.sin(g) + 700000.0, F.lit(pole) - r * F.cos(g)
 
 
 def bilinear_weights(fx: Column, fy: Column) -> Column:

@@ -22,12 +22,12 @@ BLUR_SIGMA = (1.3, 1.3, 1.3, 1.3, 1.3, 1.1, 0.9, 0.8)
 GATE_ACCURACY, GATE_SECONDS, TRACK_LENGTH = 20.0, 12.0, 800
 DELIMITERS = (";", "\t", ",", "|")
 HEADER_SYNONYMS = {
-    "code": ("code", "codegene", "codelac", "identifiant", "id"),
-    "name": ("name", "nom", "nombdcarthage", "nomlac", "toponyme"),
-    "date": ("date", "dtgbathy", "datebathy"),
-    "lon": ("lon", "longitude", "x"),
-    "lat": ("lat", "latitude", "y"),
-    "depth": ("depth", "prof", "profondeur", "z"),
+    "code": ("codegene", "code", "codelac", "identifiant"),
+    "name": ("nombdcarthage", "nom", "name", "toponyme"),
+    "date": ("dtgbathy", "date"),
+    "lon": ("lon", "longitude"),
+    "lat": ("lat", "latitude"),
+    "depth": ("prof", "profondeur", "depth"),
 }
 
 SOUNDING = "code string, name string, date string, lon double, lat double, depth double"

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.shared import checkpointed
+
 
 def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """Labels from 1 of the 4-connected components, in the order of their first cell, and their number."""
@@ -252,10 +254,9 @@ def components_by_blocks(mask: DataFrame, block: int = 512) -> DataFrame:
     state = links.select(F.col("u").alias("label")).distinct().withColumn("root", F.col("label"))
     while True:
         seen = links.join(state.select(F.col("label").alias("v"), "root"), "v").groupBy(F.col("u").alias("label")).agg(F.min("root").alias("near"))
-        new = state.join(seen, "label", "left").select("label", "root", F.least("root", "near").alias("next")).checkpoint()
-        changed = new.where("next < root").isEmpty()
+        new = checkpointed(state.join(seen, "label", "left").select("label", "root", F.least("root", "near").alias("next")))
+        settled = new.where("next < root").isEmpty()
         state = new.select("label", F.col("next").alias("root"))
-        if changed:
+        if settled:
             break
-    out = labels.join(state, "label", "left").select("y", "x", F.coalesce("root", "label").alias("component"))
-    return out
+    return labels.join(state, "label", "left").select("y", "x", F.coalesce("root", "label").alias("component"))

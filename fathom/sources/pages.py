@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,9 @@ def snippets(pages: DataFrame, pattern: str, before: int = 160, after: int = 240
     return found.select("page_id", F.posexplode("ss").alias("i", "s")).select("page_id", "i", clean(F.col("s")).alias("snippet"))
 
 
-def address_grid(spark: SparkSession, bases: list[str], names: list[str], endings: list[str]) -> DataFrame:
-    """All addresses of three short literal lists."""
-    lists = spark.range(1).select(*(F.array(*map(F.lit, v)).alias(k) for k, v in (("bases", bases), ("names", names), ("endings", endings))))
-    each = lists.select(F.explode("bases").alias("base"), "names", "endings").select("base", F.explode("names").alias("name"), "endings").select("base", "name", F.explode("endings").alias("ending"))
+def address_grid(names: DataFrame, bases: list[str], endings: list[str]) -> DataFrame:
+    """All addresses of names with two short literal lists."""
+    each = names.select("name", F.explode(F.array(*map(F.lit, bases))).alias("base")).select("*", F.explode(F.array(*map(F.lit, endings))).alias("ending"))
     return each.select(F.concat("base", "name", F.lit("."), "ending").alias("url"), "base", "name", "ending")
 
 

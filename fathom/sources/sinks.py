@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def geojson_points(df: DataFrame, licence: str) -> DataFrame:
-    """One row: a feature collection of (lon, lat, depth_m, n, date)."""
+def geojson_features(df: DataFrame) -> DataFrame:
+    """One feature a row of (lon, lat, depth_m, n, date): text that any number of tasks can write."""
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("depth_m", "n", "date").alias("properties"))
-    one = df.agg(F.sort_array(F.collect_list(F.struct("lon", "lat", feature.alias("f")))).alias("fs"))
-    return one.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.lit(licence).alias("licence"), F.transform("fs", lambda x: x["f"]).alias("features"))).alias("value"))
+    return df.select("lon", "lat", F.to_json(feature).alias("value"))
+
+
+def geojson_points(df: DataFrame, licence: str) -> DataFrame:
+    """One row: a feature collection, for a map's worth of points."""
+    one = geojson_features(df).agg(F.sort_array(F.collect_list(F.struct("lon", "lat", "value"))).alias("fs"))
+    head = F.concat(F.lit('{"type":"FeatureCollection","licence":'), F.lit(json.dumps(licence)), F.lit(',"features":['))
+    return one.select(F.concat(head, F.array_join(F.transform("fs", lambda x: x["value"]), ","), F.lit("]}")).alias("value"))
 
 
 def packed_grid(cells: DataFrame, header: dict) -> DataFrame:
