@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh_path, table
+from fathom.llm.common import fresh_path, scratch, table
 from fathom.llm.decontaminate import clean
 from fathom.llm.linededup import dedup_lines
 from fathom.llm.packing import pack_texts
@@ -53,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The rows of the last stage; what the stages write in between is deleted at the end."""
+    out = fresh_path(spark, "packed")
+    with scratch(spark):
+        docs = table(spark, sf_dir, "documents")
+        for k, (name, stage) in enumerate(STAGES):
+            path = out if k == len(STAGES) - 1 else fresh_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
