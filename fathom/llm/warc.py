@@ -13,7 +13,8 @@ payloads are shuffled once, by the key that is unique, not by digest. ``max_reco
 archive that one task reads at a time.
 
 Defined cases. A null payload is an empty one. A null url is written as an empty header. Records with
-payloads under ``least`` bytes are never revisits. Repeated keys are one record each. An empty table
+payloads under ``least`` bytes are never revisits. Rows that repeat a key are one record each, and equal
+ones of the largest key are all responses. An empty table
 gives an empty result.
 """
 
@@ -42,11 +43,11 @@ def records(rows: DataFrame, key: str, url: str, payload: str) -> DataFrame:
 
 
 def resolve_revisits(headers: DataFrame, least: int = 1000) -> DataFrame:
-    """record_key and refers_to of the records that revisit another: of equal payloads the largest key is the response."""
+    """record_key, payload_digest and refers_to, once each, of the records that revisit another: of equal payloads the largest key is the response."""
     large = headers.where(F.col("payload_bytes") >= least).select("record_key", "payload_bytes", "payload_digest")
     original = large.groupBy("payload_digest", "payload_bytes").agg(F.max("record_key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     found = salted_join(large.withColumnRenamed("payload_bytes", "__bytes"), original, "payload_digest", F.xxhash64("record_key"))
-    return found.where("__bytes = payload_bytes and record_key != refers_to").select("record_key", "refers_to")
+    return found.where("__bytes = payload_bytes and record_key != refers_to").select("record_key", "payload_digest", "refers_to").distinct()
 
 
 def _line(name: str, value: Column) -> Column:
@@ -138,7 +139,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 def deduplicate(rows: DataFrame, path: str, least: int = 1000) -> None:
     """Write records() of a table as archives in which equal payloads stand once."""
     revisits = resolve_revisits(rows.select("record_key", "payload_bytes", "payload_digest"), least)
-    write_warc(rows.join(revisits, "record_key", "left"), path)
+    write_warc(rows.join(revisits, ["record_key", "payload_digest"], "left"), path)
 
 
 def op5_warc(spark, sf_dir):

@@ -229,6 +229,11 @@ def test_warc(spark, tmp_path):
         raw = (h or "").encode()
         old = len(raw) >= 1000 and last[h] != i
         assert tuple(got[i])[1:] == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if old else "response", last[h] if old else None)
+    again = spark.createDataFrame([(5, "u", big), (5, "u", big), (5, "u", other), (9, "u", big), (9, "u", big), (None, "u", big)], "page_id long, url string, html string")
+    path = common.fresh_path(spark, "warc")
+    warc.deduplicate(warc.records(again, "page_id", "url", "html"), path)
+    kinds = collections.Counter((r.record_key, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, path).collect())
+    assert kinds == {(5, len(big), "revisit", 9): 2, (5, 1200, "response", None): 1, (9, len(big), "response", None): 2, (None, len(big), "response", None): 1}
     path = common.fresh_path(spark, "warc")
     warc.deduplicate(warc.records(spark.read.parquet(str(tmp_path / "pages.parquet")), "page_id", "url", "html"), path)
     full = {r.record_key: r.payload for r in warc.read_warc(spark, path, with_payload=True).collect()}
