@@ -126,3 +126,51 @@ def op3_chat(spark, sf_dir):
     loss = lambda ts: F.array_join(F.transform(F.filter(ts, lambda t: t["loss"]), lambda t: t["text"]), "")
     row = let(F.col("turns"), lambda ts: let(loss(ts), lambda x: F.struct(F.size(ts).cast("long").alias("n_turns"), digest(whole(ts)).alias("turns_sha256"), F.char_length(x).cast("long").alias("loss_chars"), digest(x).alias("loss_sha256"))))
     return back.select("conv_id", row.alias("r"), "formatted_chars").select("conv_id", "r.*", "formatted_chars")
+
+
+_ESCAPED = "(length(replace({0}, chr(92), chr(92) || chr(92))) + len(regexp_extract_all({0}, '<[|](?:turn|text|end|im_start|im_end|endoftext|startoftext|system|user|assistant)[|]>|</?s>|<</?SYS>>|[[]/?INST[]]')))"
+SQL = {
+    "op3_chat": f"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+                   len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) + 4 AS tokens,
+                   23 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")} AS chars
+            FROM t
+        ),
+        c AS (
+            SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) AS upto,
+                   first_value(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS system,
+                   first_value(tokens) OVER (PARTITION BY conv_id ORDER BY i) AS tokens0,
+                   first_value(chars) OVER (PARTITION BY conv_id ORDER BY i) AS chars0
+            FROM r
+        ),
+        s AS (
+            SELECT conv_id, i, tokens AS used, 1 AS spans, true AS begins FROM c WHERE i = 0
+            UNION ALL
+            SELECT conv_id, i, CASE WHEN new THEN tokens ELSE used + tokens END, CASE WHEN new THEN spans + 1 ELSE spans END, new
+            FROM (
+                SELECT c.conv_id, c.i, c.tokens, s.used, s.spans,
+                       s.used > 0 AND s.used + c.tokens > 1024 - CASE WHEN s.spans <= 1 THEN 0 ELSE 256 + c.system * c.tokens0 END AS new
+                FROM s JOIN c ON c.conv_id = s.conv_id AND c.i = s.i + 1
+            )
+        ),
+        w AS (SELECT c.conv_id, c.i AS begin, c.upto - c.tokens AS before, c.system, c.chars0 FROM s JOIN c ON c.conv_id = s.conv_id AND c.i = s.i WHERE s.begins AND s.i > 0),
+        h AS (
+            SELECT w.conv_id, sum(c.chars) AS chars FROM w JOIN c ON c.conv_id = w.conv_id AND c.i < w.begin AND c.i >= greatest(w.system, w.begin - 64)
+            WHERE w.before - (c.upto - c.tokens) <= 256 GROUP BY 1
+        ),
+        k AS (SELECT conv_id, sum(system * chars0) AS chars FROM w GROUP BY 1),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+                   coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+            FROM r GROUP BY 1
+        )
+        SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               CAST(g.chars + coalesce(h.chars, 0) + coalesce(k.chars, 0) AS BIGINT) AS formatted_chars
+        FROM g LEFT JOIN h ON h.conv_id = g.conv_id LEFT JOIN k ON k.conv_id = g.conv_id
+    """
+}

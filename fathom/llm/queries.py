@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import chat, warc
 from .chat import op3_chat
 from .decontaminate import op4_decontamination
 from .licenses import op1_licenses
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {**warc.SQL}
+SQL: dict[str, str] = {**chat.SQL, **warc.SQL}
