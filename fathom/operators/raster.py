@@ -45,11 +45,6 @@ def boundary(cells: DataFrame) -> DataFrame:
     return cells.where("k is not null").withColumn("__r", differs(row, "x")).withColumn("__c", differs(column, "y")).where("__r + __c > 0").select("y", "x", "k")
 
 
-def boundary_index(cells: DataFrame, ny: int, nx: int) -> DataFrame:
-    """Cells of a mask m (0 or 1) that a cross of one cell dilates."""
-    return dilate(cells, ny, nx)
-
-
 def _offsets(cells: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets))
     return cells.select("y", "x", F.explode(steps).alias("d")).select((F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
