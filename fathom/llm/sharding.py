@@ -2,7 +2,7 @@
 
 Rows with equal texts form a group that is never split; groups keep the order of their smallest key.
 The smallest shard capacity for which the groups fit into the shards, filled greedily in order, is
-found by binary search, and the groups are cut there.
+found by binary search. Within that capacity the groups are cut where shards come out most even.
 
 How it scales. A greedy check asks for the last group end at or before a number of bytes, once a shard.
 The driver answers that from a summary of the prefix sums: the first and last group end in each of a
@@ -88,12 +88,14 @@ class Ends:
         return None
 
 
-def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int]:
-    """Ends of the shards, from groups (size long, upto long: the prefix sum with the group). The last shards may be empty."""
+def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS, capacity: int | None = None) -> tuple[int, list[int]]:
+    """The smallest capacity (or one given that fits) and the greedy ends of the shards, from groups (size long, upto long: the prefix sum with the group). The last shards may be empty."""
     total, largest = groups.agg(F.max("upto"), F.max("size")).first()
     if total is None:
-        return [0] * shards
+        return 0, [0] * shards
     low, high = max(largest, -(-total // shards)) - 1, total  # low never fits, high always does
+    if capacity is not None:
+        low, high = capacity - 1, capacity
     # The bounds of a cut lie as many cells apart as shards stand before it; so many cells make every round narrower.
     cells = max(cells, 8 * shards * shards)
     asked, before = [(0, total)], 2 * total
@@ -118,7 +120,7 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int
         ends = Ends(known)
         # The smallest capacity that surely fits, and the largest that surely doesn't.
         high = _first(low, high, lambda c: ends.cuts(c, shards, total, upper=False) is not None)
-        low = _first(low, high, lambda c: ends.cuts(c, shards, total, upper=True) is not None) - 1
+        low = low if high - low == 1 else _first(low, high, lambda c: ends.cuts(c, shards, total, upper=True) is not None) - 1
         hidden: set[int] = set()
         # Cells that a check between the two can ask for: from the lower answers at low + 1 to the upper ones at high.
         for lower, upper in _spans(ends, low + 1, high, shards, total):
@@ -127,8 +129,8 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int
                     hidden.add(k)
         if high - low <= 1:
             cuts = ends.cuts(high, shards, total, upper=False)
-            if cuts == ends.cuts(high, shards, total, upper=True):
-                return cuts
+            if cuts is not None and cuts == ends.cuts(high, shards, total, upper=True):
+                return high, cuts
         asked = _merged([(ends.first[k], ends.last[k]) for k in sorted(hidden)])
 
 
@@ -164,6 +166,33 @@ def _merged(spans: list[tuple[int, int]], most: int = 64) -> list[tuple[int, int
     return out
 
 
+def even_cuts(groups: DataFrame, shards: int, cells: int = CELLS) -> list[int]:
+    """Ends of the shards, none beyond the smallest capacity, each the nearest to an even share that this allows.
+
+    Filled greedily from the front every end is the latest possible, from the back the earliest; between
+    the two lie the ends that leave room for what follows.
+    """
+    capacity, latest = minimax_cuts(groups, shards, cells)
+    total = latest[-1]
+    if not total:
+        return latest
+    mirrored = groups.select("size", (F.lit(total) - F.col("upto") + F.col("size")).alias("upto"))
+    earliest = [total - c for c in minimax_cuts(mirrored, shards, cells, capacity)[1][-2::-1]]
+    cell = F.expr(f"(upto * {shards} + {total - 1}) div {total}")  # of the first even share that holds the end
+    found = {r.cell: (r.a, r.b) for r in groups.groupBy(cell.alias("cell")).agg(F.min("upto").alias("a"), F.max("upto").alias("b")).collect()}
+    cuts, at = [], 0
+    for j in range(1, shards):
+        below = max((b for c, (_, b) in found.items() if c <= j), default=0)
+        above = min((a for c, (a, _) in found.items() if c > j), default=total)
+        least, most = max(earliest[j - 1], at), min(latest[j - 1], at + capacity)
+        fit = [c for c in (below, above, earliest[j - 1], latest[j - 1]) if least <= c <= most]
+        if least < below and below > most:  # the last end within reach is none of these
+            fit.append(groups.where(F.col("upto") <= most).agg(F.max("upto")).first()[0])
+        at = min(fit, key=lambda c: (abs(c * shards - total * j), c))
+        cuts.append(at)
+    return [*cuts, total]
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document; shards are filled nearly equally by bytes."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -173,7 +202,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("size"), F.min(first).alias("first")), "groups")
     # Groups of one smallest doc_id (a doc_id that repeats with other texts) are told apart by their keys.
     running = written(_running(groups.select("first", "key", "size"), ["first", "key"], "size", "upto"), "running")
-    cuts = minimax_cuts(running, shards)
+    cuts = even_cuts(running, shards)
     shard = F.lit(0)
     for c in cuts[:-1]:
         shard = shard + (F.col("upto") > c).cast("int")

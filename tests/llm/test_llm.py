@@ -250,7 +250,8 @@ def test_minimax(spark, shards, cells):
     rng = random.Random(shards)
     sizes = [rng.choice([1, 2, 5, rng.randint(1, 400)]) for _ in range(400)]
     upto = np.cumsum(sizes).tolist()
-    cuts = sharding.minimax_cuts(spark.createDataFrame(list(zip(sizes, upto, strict=True)), "size long, upto long"), shards, cells)
+    groups = spark.createDataFrame(list(zip(sizes, upto, strict=True)), "size long, upto long")
+    capacity, cuts = sharding.minimax_cuts(groups, shards, cells)
 
     def fits(c):
         n, now = 1, 0
@@ -263,7 +264,10 @@ def test_minimax(spark, shards, cells):
         return n <= shards
 
     best = next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
-    assert max(b - a for a, b in zip([0, *cuts], cuts, strict=False)) == best and cuts[-1] == sum(sizes) and set(cuts) <= {0, *upto}
+    assert max(b - a for a, b in zip([0, *cuts], cuts, strict=False)) == best == capacity and cuts[-1] == sum(sizes) and set(cuts) <= {0, *upto}
+    even = sharding.even_cuts(groups, shards, cells)
+    own, greedy = (np.diff([0, *c]) for c in (even, cuts))
+    assert max(own) <= best and even[-1] == sum(sizes) and set(even) <= {0, *upto} and min(own) >= min(greedy)
 
 
 def test_sharding(docs, empty):
