@@ -121,7 +121,7 @@ def most_apart(similarity: float, bits: int) -> int:
     return round(bits * chance + math.sqrt(bits * chance * (1 - chance)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 8) -> DataFrame:
     """docs without all but one document, the one of smallest doc_id, of each group of near copies.
 
     The first ``banded`` of the fingerprint's 64-bit words are cut into bands and ball-hashed; candidates
