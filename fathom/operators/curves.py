@@ -93,7 +93,7 @@ def labels(rings: DataFrame, width: float, height: float, most: int = 2, longest
     0.72 for the next. Both are computed and the choice is a fold over the few candidates.
     """
     size = metrics(rings).where(F.col("perimeter") >= least)
-    w = Window.partitionBy("k").orderBy(F.desc("perimeter"), "ring_id")
+    w = Window.partitionBy("k").orderBy(F.desc(F.round("perimeter", 6)), "ring_id")
     ranked = size.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= longest).select(*KEYS, "rank")
     some = rings.join(ranked.select(*KEYS), list(KEYS), "left_semi")
     inside = F.col("x").between(margin, width - margin) & F.col("y").between(margin, height - margin)

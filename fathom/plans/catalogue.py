@@ -261,9 +261,9 @@ def small_holes(spark, d):
     return s.where((F.col("cells") <= 9) & (F.col("y0") > 0) & (F.col("y1") < NY - 1) & (F.col("x0") > 0) & (F.col("x1") < NX - 1)).select("component", "cells")
 
 
-@query("nearest_fill")
+@query("nearest_fill", sql("have AS (SELECT y, x, k FROM raster WHERE k >= 3), g AS (SELECT CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM range((SELECT max(y) + 1 FROM have)) a(y), range((SELECT max(x) + 1 FROM have)) b(x)) SELECT g.y, g.x, arg_min(h.k, CAST((g.y - h.y) * (g.y - h.y) + (g.x - h.x) * (g.x - h.x) AS BIGINT) * 1000000 + h.y * 1000 + h.x) AS k FROM g, have h GROUP BY 1, 2", "raster"))
 def nearest_fill(spark, d):
-    """Every cell of the grid gets the class of the nearest that has one; tested against brute force."""
+    """Every cell of the grid gets the class of the nearest that has one."""
     import numpy as np
 
     cells = C.raster(spark, d).where("k >= 3").withColumn("map", F.lit(1))
@@ -456,9 +456,12 @@ def point_on_ring(spark, d):
     return p.select("k", "ring_id", *(F.round(c, 5).alias(c) for c in ("x", "y", "angle", "total")))
 
 
-@query("label_top2")
+_LABELS = ", l AS (SELECT k, ring_id, rank FROM (SELECT k, ring_id, row_number() OVER (PARTITION BY k ORDER BY round(total, 6) DESC, ring_id) AS rank FROM placed WHERE f < 0.5 AND total >= 180) WHERE rank <= 8), cand AS (SELECT l.rank, p.*, p.x BETWEEN 15 AND 635 AND p.y BETWEEN 15 AND 465 AS ok FROM l JOIN placed p ON p.k = l.k AND p.ring_id = l.ring_id), one AS (SELECT k, min(rank) AS rank FROM cand c WHERE f < 0.5 AND ok GROUP BY 1), two AS (SELECT c.k, min(c.rank) AS rank FROM cand c JOIN one ON one.k = c.k AND c.rank > one.rank WHERE f > 0.5 AND ok GROUP BY 1) SELECT c.k, c.ring_id, round(x, 5) AS x, round(y, 5) AS y, round(angle, 5) AS angle FROM cand c WHERE (f < 0.5 AND (k, rank) IN (SELECT (k, rank) FROM one)) OR (f > 0.5 AND (k, rank) IN (SELECT (k, rank) FROM two))"
+
+
+@query("label_top2", sql(_ON + _LABELS, "rings", "around"))
 def label_top2(spark, d):
-    """Two labels at most on the longest rings of each isobath; the choice depends on what was accepted before, so a plain fold tests it."""
+    """Two labels at most on the longest rings of each isobath; the choice depends on what was accepted before."""
     got = curves.labels(C.rings(spark, d), 650.0, 480.0)
     return got.select("k", "ring_id", *(F.round(c, 5).alias(c) for c in ("x", "y", "angle")))
 
@@ -485,9 +488,15 @@ def svg_path(spark, d):
     return curves.svg_paths(C.rings(spark, d), 1)
 
 
-@query("smoothing_report")
+def _smoothing_sql() -> str:
+    shape = "{0} AS (SELECT k, ring_id, count(*) AS n, sum(x * ny - nx * y) / 2 AS area, sqrt(avg(((px - x * 2 + nx) * (px - x * 2 + nx) + (py - y * 2 + ny) * (py - y * 2 + ny)) / 4)) AS roughness FROM (" + C.VIEWS["around"].replace("FROM rings", "FROM {1}") + ") GROUP BY 1, 2)"
+    steps = _taubin_sql().rpartition(" SELECT k, ring_id, i, round")[0]
+    return f"{steps}, {shape.format('b', 'rings')}, {shape.format('a', 't3')} SELECT b.k, round(sum(b.roughness * b.n) / sum(b.n), 5) AS before, round(sum(a.roughness * b.n) / sum(b.n), 5) AS after, round(max(abs(a.area - b.area) / greatest(abs(b.area), 1e-9)), 5) AS area_change FROM b JOIN a ON a.k = b.k AND a.ring_id = b.ring_id GROUP BY 1"
+
+
+@query("smoothing_report", sql(_smoothing_sql(), "rings"))
 def smoothing_report(spark, d):
-    """Roughness before and after smoothing, and the change of area, by isobath; ring metrics and smoothing are checked apart."""
+    """Roughness before and after smoothing, and the change of area, by isobath."""
     r = C.rings(spark, d)
     return curves.smoothing_report(r, curves.taubin(r, 2)).select("k", *(F.round(c, 5).alias(c) for c in ("before", "after", "area_change")))
 
