@@ -106,14 +106,12 @@ class Index:
         sets = {w: set(p) for w, p in at.items()}
         for k, t in enumerate(self.templates):
             anchor, own = self.anchors[k]
-            rarest = [w for w in present if any(x == k for x, _ in self.postings[w])]
             if anchor not in present:
                 continue
-            need = [(w, i) for w in rarest for x, i in self.postings[w] if x == k]
+            need = [(w, i) for w in present for x, i in self.postings[w] if x == k]
             for s in sorted({p - i for p in at[anchor] for i in own}):
-                together = sum(s + i in sets[w] for w, i in need)
-                if together < len({w for w, _ in need}) and t.base:
-                    continue
+                if t.base and not all(s + i in sets[w] for w, i in need):
+                    continue  # a rare word of the phrase stands elsewhere
                 if all(s + i >= 0 and words[s + i : s + i + len(p)] == p for i, p in self.keys[k]):
                     labels.add(t.label)
                     if t.base:
