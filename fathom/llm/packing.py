@@ -51,7 +51,7 @@ class WordBpe:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,6 +97,11 @@ class WordBpe:
             self.known.update(out)
         return [out[w] for w in words]
 
+    def rest(self, most: int = 100_000) -> None:
+        """At a task's end: don't hold memory that the process's next task may need for something else."""
+        if len(self.known) > most:
+            self.known.clear()
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
         if len(self.known) > self.cache:
@@ -166,8 +171,8 @@ class Packer:
             fits = (self.left >= need).all(1)
             if fits.any():
                 score = np.where(fits, (self.left / self.limits) @ (need / self.limits), -1.0)
-                # a piece that is small against all that is open still goes where it leaves least
-                score = np.where(fits & (self.left[:, 0] == need[0]), 9.0, score)
+                # a piece that fills a sequence to the last token goes there
+                score = np.where(fits & (self.left[:, 0] == need[0]), np.inf, score)
                 yield from self._put(int(score.argmax()), (key, start, ids, loss, total), need)
                 return
             if len(self.bins) < self.most_open:
@@ -249,6 +254,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "te
                     ids = np.concatenate([ids, tail])
                     out += packer.add(k, ids, None if loss_mask is None else np.asarray(loss_mask(ids), bool))
                 yield rows(out)
+        encoder.rest()
         yield rows(list(packer.end()))
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, PIECES)
