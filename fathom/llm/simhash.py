@@ -10,8 +10,8 @@ one bit, so that a meeting holds 65 fingerprints at most; all of them are within
 other, so that links to the smallest of them lose no component.
 
 ``near_duplicates`` looks for a similarity (Jaccard's, of sets of five-word shingles by default), which
-for SimHash means an angle: it takes wider fingerprints, ball-hashes each 32-bit band, and verifies
-candidates by the distance over all bits.
+for SimHash means an angle: it takes wider fingerprints, ball-hashes each 32-bit band, sorts out by the
+distance over all bits what can't be that similar, and verifies the rest by their shingle sets.
 
 How it scales. Fingerprints are one pass over the texts; equal ones are counted once, so copies cost
 nothing more. The variants of the distinct fingerprints are shuffled, a fixed number for each.
@@ -71,15 +71,25 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keys: list[str] | None = None, repeats: bool = True) -> DataFrame:
-    """The key columns (longs) and f0, f1, ...: a long for each 64 bits. Without ``repeats`` every different shingle counts once."""
+    """The key columns (longs) and f0, f1, ...: a long for each 64 bits.
+
+    Without ``repeats`` every different shingle counts once, and ``node`` is a hash of the set of shingles.
+    """
     keys = keys or ["doc_id"]
-    names = [*keys, *(f"f{k}" for k in range(words))]
+    names = [*keys, *([] if repeats else ["node"]), *(f"f{k}" for k in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = (shingle_hashes(t.as_py(), shingle) for t in b.column("text"))
-            got = np.frombuffer(b"".join(fingerprint(h if repeats else np.unique(h), words) for h in hashes), ">i8").reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), *(pa.array(got[:, k].astype(np.int64)) for k in range(words))], names=names)
+            found, nodes = [], []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), shingle)
+                if not repeats:
+                    h = np.unique(h)
+                    nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
+                found.append(fingerprint(h, words))
+            got = np.frombuffer(b"".join(found), ">i8").reshape(-1, words)
+            of_sets = [] if repeats else [pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in keys), *of_sets, *(pa.array(got[:, k].astype(np.int64)) for k in range(words))], names=names)
 
     return docs.select(*keys, "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -112,26 +122,48 @@ BAND_MASKS = [0, *(1 << i for i in range(32))]
 
 
 def most_apart(similarity: float, bits: int) -> int:
-    """Differing bits up to which a pair is taken for near copies.
+    """Differing bits up to which a pair's shingles are compared.
 
     Shingle sets of a Jaccard similarity have an angle, and each bit differs with a chance in proportion
-    to it; a standard deviation more keeps five of six pairs that are just as similar as asked.
+    to it; five standard deviations more let pairs pass that are just as similar as asked.
     """
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * chance + math.sqrt(bits * chance * (1 - chance)))
+    return round(bits * chance + 5 * math.sqrt(bits * chance * (1 - chance)))
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the different shingles' hashes of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)).astype(np.uint64).view(np.int64) for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingle sets have the Jaccard similarity, exactly."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    firsts = distinct.join(wanted, "node", "left_semi").select("node", "first.*")
+    sets = written(_shingle_sets(keyed.join(firsts, ["__id", "__text"]).dropDuplicates(["__id", "__text"]), shingle), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("of_v")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("of_u")), "u")
+    sized = both.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("shared"), (F.size("of_u") + F.size("of_v")).alias("total"))
+    return checkpointed(sized.where(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 6) -> DataFrame:
     """docs without all but one document, the one of smallest doc_id, of each group of near copies.
 
     The first ``banded`` of the fingerprint's 64-bit words are cut into bands and ball-hashed; candidates
-    are verified by the distance over all ``words``.
+    that the distance over all ``words`` does not rule out are verified by their shingle sets.
     """
     keyed = _row_keys(docs).select("__id", "__text", "text")
     prints = written(fingerprints(keyed, shingle, words, ["__id", "__text"], repeats=False), "fingerprints")
     fs = [f"f{k}" for k in range(words)]
-    node = F.xxhash64(*fs).alias("node")
-    distinct = checkpointed(prints.groupBy(*fs).agg(F.min(F.struct("__id", "__text")).alias("first")).select(node, "first", *fs))
+    distinct = checkpointed(prints.groupBy("node", *fs).agg(F.min(F.struct("__id", "__text")).alias("first")).select("node", "first", *fs))
     bands = F.array(*(x for k in range(banded) for x in (F.col(f"f{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"f{k}"), 32))))
     keys = F.flatten(F.transform(bands, lambda band, i: F.transform(F.array(*(F.lit(m) for m in BAND_MASKS)), lambda m: F.shiftleft(i.cast("long"), 32).bitwiseXOR(band.bitwiseXOR(m)))))
     variants = distinct.select("node", F.explode(keys).alias("variant"))
@@ -142,8 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     left = distinct.select(F.col("node").alias("u"), *(F.col(f).alias(f"u{f}") for f in fs))
     right = distinct.select(F.col("node").alias("v"), *(F.col(f).alias(f"v{f}") for f in fs))
     apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
-    found = pairs.join(left, "u").join(right, "v").where(apart <= most_apart(similarity, 64 * words)).select("u", "v")
-    roots = checkpointed(components(found))
+    near = checkpointed(pairs.join(left, "u").join(right, "v").where(apart <= most_apart(similarity, 64 * words)).select("u", "v"))
+    roots = checkpointed(components(_similar(near, distinct, keyed, shingle, similarity)))
     rooted = checkpointed(distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
     stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     # Equal rows of one doc_id still repeat; they have the same place after the join.

@@ -479,6 +479,21 @@ def test_near_duplicates(spark, tmp_path):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def jaccard(a, b, size=5):
+    a, b = ({tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_keep_a_family(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "%x" % rng.getrandbits(40)
+    shared = [word() for _ in range(330)]
+    texts = [" ".join(shared + [word() for _ in range(70)]) for _ in range(60)]
+    assert all(0.68 < jaccard(a, b) < 0.72 for a in texts[:8] for b in texts[:8] if a != b)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    assert simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).count() == 60
+
+
 # 10
 
 
