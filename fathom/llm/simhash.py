@@ -15,6 +15,9 @@ distance over all bits what can't be that similar, and verifies the rest by thei
 
 How it scales. Fingerprints are one pass over the texts; equal ones are counted once, so copies cost
 nothing more. The variants of the distinct fingerprints are shuffled, a fixed number for each.
+``near_duplicates`` compares a meeting's nodes with its smallest first, and then, exactly, all pairs of a
+meeting that this has not joined: a group of near copies costs little more than its members, while a
+meeting of many documents that are no near copies of each other costs the square of them.
 Components are found by rounds of minima by key and salted joins.
 
 Defined cases. Null and empty texts have fingerprint zero and are linked like any other. Texts with
@@ -31,7 +34,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -154,6 +157,15 @@ def _similar(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, shingle: i
     return checkpointed(sized.where(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("u", "v"))
 
 
+def _of_side(distinct: DataFrame, side: str, fs: list[str]) -> DataFrame:
+    return distinct.select(F.col("node").alias(side), *(F.col(f).alias(f"{side}{f}") for f in fs))
+
+
+def _apart(fs: list[str]) -> Column:
+    """Differing bits of the fingerprints of u and v."""
+    return sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 6) -> DataFrame:
     """docs without all but one document, the one of smallest doc_id, of each group of near copies.
 
@@ -168,14 +180,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     keys = F.flatten(F.transform(bands, lambda band, i: F.transform(F.array(*(F.lit(m) for m in BAND_MASKS)), lambda m: F.shiftleft(i.cast("long"), 32).bitwiseXOR(band.bitwiseXOR(m)))))
     variants = distinct.select("node", F.explode(keys).alias("variant"))
     by = Window.partitionBy("variant")
-    met = variants.select("node", F.min("node").over(by).alias("least"), F.max("node").over(by).alias("most")).where("least != most")
-    pairs = met.select("node", F.explode(F.array("least", "most")).alias("other")).where("node != other")
-    pairs = checkpointed(pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct())
-    left = distinct.select(F.col("node").alias("u"), *(F.col(f).alias(f"u{f}") for f in fs))
-    right = distinct.select(F.col("node").alias("v"), *(F.col(f).alias(f"v{f}") for f in fs))
-    apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
-    near = checkpointed(pairs.join(left, "u").join(right, "v").where(apart <= most_apart(similarity, 64 * words)).select("u", "v"))
-    roots = checkpointed(components(_similar(near, distinct, keyed, shingle, similarity)))
+    met = variants.select("variant", "node", F.min("node").over(by).alias("least"), F.count(F.lit(1)).over(by).alias("n")).where("n > 1")
+    met = written(met, "meetings")
+    limit = most_apart(similarity, 64 * words)
+    # First each meeting's nodes with its smallest: that joins most near copies by few pairs.
+    pairs = met.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    pairs = pairs.join(_of_side(distinct, "u", fs), "u").join(_of_side(distinct, "v", fs), "v")
+    near = checkpointed(pairs.where(_apart(fs) <= limit).select("u", "v"))
+    found = _similar(near, distinct, keyed, shingle, similarity)
+    # Then all pairs of a meeting that are not joined by now.
+    roots = checkpointed(components(found))
+    rooted = met.where("n > 2").join(roots, "node", "left").select("variant", "node", F.coalesce("root", "node").alias("root"))
+    apart = rooted.select("*", F.min("root").over(by).alias("lowest"), F.max("root").over(by).alias("highest")).where("lowest != highest").select("variant", "node", "root")
+    apart = written(apart.join(distinct.select("node", *fs), "node"), "apart")
+    u, v = (apart.select("variant", F.col("node").alias(s), F.col("root").alias(f"{s}root"), *(F.col(f).alias(f"{s}{f}") for f in fs)) for s in "uv")
+    more = u.join(v.hint("merge"), "variant").where((F.col("u") > F.col("v")) & (F.col("uroot") != F.col("vroot")) & (_apart(fs) <= limit)).select("u", "v").distinct()
+    more = checkpointed(more.join(near, ["u", "v"], "left_anti"))
+    roots = checkpointed(components(found.union(_similar(more, distinct, keyed, shingle, similarity))))
     rooted = checkpointed(distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root")))
     stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     # Equal rows of one doc_id still repeat; they have the same place after the join.

@@ -480,7 +480,7 @@ def test_near_duplicates(spark, tmp_path):
 
 
 def jaccard(a, b, size=5):
-    a, b = ({tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)} for t in (a, b))
+    a, b = ({*zip(*(t.split()[i:] for i in range(size)), strict=False)} for t in (a, b))
     return len(a & b) / len(a | b)
 
 
@@ -494,6 +494,24 @@ def test_near_duplicates_keep_a_family(spark, tmp_path):
     assert simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).count() == 60
 
 
+def test_near_duplicates_compare_whole_meetings(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda: "%x" % rng.getrandbits(40)
+    shared, texts = [word() for _ in range(345)], []
+    for _ in range(60):  # pairs of near copies in a family that is none
+        own = [word() for _ in range(55)]
+        texts += [" ".join(shared + own), " ".join(shared + own[:20] + [word() for _ in range(35)])]
+    prints = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5)), 8) for t in texts]
+    bands = [[int.from_bytes(p[k : k + 4]) for k in range(0, 48, 4)] for p in prints]
+    met = [(i, j) for i in range(120) for j in range(i) if any((a ^ b).bit_count() <= 2 for a, b in zip(bands[i], bands[j], strict=True))]
+    linked = [(i, j) for i, j in met if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(met) > 4000 and 40 < len(linked) <= 60
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), banded=6)
+    root = union(range(120), linked)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
 # 10
 
 
