@@ -166,17 +166,17 @@ def _apart(fs: list[str]) -> Column:
     return sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, banded: int | None = None) -> DataFrame:
     """docs without all but one document, the one of smallest doc_id, of each group of near copies.
 
-    The first ``banded`` of the fingerprint's 64-bit words are cut into bands and ball-hashed; candidates
+    The first ``banded`` (all by default) of the fingerprint's 64-bit words are cut into bands and ball-hashed; candidates
     that the distance over all ``words`` does not rule out are verified by their shingle sets.
     """
     keyed = _row_keys(docs).select("__id", "__text", "text")
     prints = written(fingerprints(keyed, shingle, words, ["__id", "__text"], repeats=False), "fingerprints")
     fs = [f"f{k}" for k in range(words)]
     distinct = checkpointed(prints.groupBy("node", *fs).agg(F.min(F.struct("__id", "__text")).alias("first")).select("node", "first", *fs))
-    bands = F.array(*(x for k in range(banded) for x in (F.col(f"f{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"f{k}"), 32))))
+    bands = F.array(*(x for k in range(words if banded is None else banded) for x in (F.col(f"f{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(f"f{k}"), 32))))
     keys = F.flatten(F.transform(bands, lambda band, i: F.transform(F.array(*(F.lit(m) for m in BAND_MASKS)), lambda m: F.shiftleft(i.cast("long"), 32).bitwiseXOR(band.bitwiseXOR(m)))))
     variants = distinct.select("node", F.explode(keys).alias("variant"))
     by = Window.partitionBy("variant")

@@ -512,6 +512,23 @@ def test_near_duplicates_compare_whole_meetings(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_near_duplicates_by_any_band(spark, tmp_path):
+    rng = random.Random(7)
+    word = lambda: "%x" % rng.getrandbits(40)
+    texts = []
+    while len(texts) < 20:
+        own = [word() for _ in range(200)]
+        pair = [" ".join(own), " ".join(own[:180] + [word() for _ in range(20)])]
+        a, b = (simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5)), 8) for t in pair)
+        near = [(int.from_bytes(a[k : k + 4]) ^ int.from_bytes(b[k : k + 4])).bit_count() <= 2 for k in range(0, 64, 4)]
+        if any(near[12:]) and not any(near[:12]):
+            texts += pair
+    assert all(jaccard(a, b) > 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
 # 10
 
 
