@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,10 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
+#: Spark deletes the shuffle files of a write as soon as the table is there.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """As the cluster names it; one of our own only where the session names none."""
+    """As the cluster names it; a temporary folder only where one process is driver and executor and the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         path = "file://" + tempfile.mkdtemp(prefix="fathom-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -35,9 +42,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, columnar and compressed."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
