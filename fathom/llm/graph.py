@@ -1,4 +1,4 @@
-"""Connected components over a table of links, without any component in one task or the driver."""
+"""Joins that deal hot keys out, and connected components without any component in one task or the driver."""
 
 from __future__ import annotations
 
@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-SALTS = 8
 
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str, salt: Column, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Join with a table that has one row per key and the number ``n`` of rows that have it.
 
-def salted_join(rows: DataFrame, one_each: DataFrame, key: str, salt: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join with a table that has one row per key, the rows of a key dealt over ``salts`` places."""
-    right = one_each.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.pmod(salt, F.lit(salts)).cast("int")).join(right, [key, "__salt"], how).drop("__salt")
+    A key with more than its part of all rows is dealt over as many places as it has parts; a part is a
+    half of what a shuffle partition has on average. Hot keys are twice the shuffle partitions at most, so they
+    are broadcast. ``salt`` tells the rows of a key apart. The result has no column n.
+    """
+    if total is None:
+        total = one_each.agg(F.sum("n")).first()[0] or 0
+    part = max(1, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    pieces = F.ceil(F.col("n") / F.lit(part)).cast("int")
+    hot = one_each.where(F.col("n") > part).select(key, pieces.alias("__pieces"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(salt, F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    right = one_each.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop("n")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _stars(rows: DataFrame, smallest: DataFrame, keep: Column) -> DataFrame:
-    """(v, m) for the rows (u, v) that stay, m being u's smallest neighbour or itself."""
-    joined = salted_join(rows.where(keep), smallest, "u", F.xxhash64("v"))
+def _stars(rows: DataFrame, smallest: DataFrame, total: int) -> DataFrame:
+    """(v, m) for the rows (u, v), m being u's smallest neighbour or itself."""
+    joined = spread_join(rows, smallest, "u", F.xxhash64("v"), total=total)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -31,23 +40,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes: each keeps the components, and the
     links of a node move to its smallest neighbour. Every step is a minimum by key, combined map-side,
-    and a salted join; every round is cut off with a checkpoint.
+    and a join that deals out nodes of many links; every round is cut off with a checkpoint.
     """
     now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    before = None
+    state = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    before = now.agg(*state).first()
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         ways = _both_ways(now)
-        smallest = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _stars(ways, smallest, F.col("v") > F.col("u")).where("u != v").distinct()
+        smallest = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _stars(ways.where("v > u"), smallest, 2 * before[0]).where("u != v").distinct()
         large = checkpointed(large)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = _stars(down, smallest, F.lit(True)).union(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        smallest = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _stars(down, smallest, before[0]).union(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         now = checkpointed(small)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        after = now.agg(*state).first()
+        if after == before:
             break
-        before = state
+        before = after
     else:
         raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,84 +1,134 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A text's lines are hashed; a rolling hash over the last lines' hashes chooses chunk boundaries, so that
-a passage shared by two texts is cut alike in both, wherever it stands. Chunks that occur anywhere else
-in the corpus are compared byte by byte and all but the first copy are removed.
-
-A chunk begins at a line, and ends before the next one, where the rolling hash over the line and the
-``window`` - 1 lines before it is 0 modulo ``modulus``, or where a line has ``long_bytes`` bytes or
-more: such a line is a passage of its own. The line that follows one is a beginning, too. Chunks of
-fewer than ``min_bytes`` bytes are never removed: short lines repeat by chance and are not passages.
-
-How it scales. Lines and chunks of a text are arrays in its row. What is shuffled is a hash and a place
-for each chunk long enough, combined map-side by hash, so that a chunk that a third of all rows share is
-one row per task. Only chunks whose hash repeats are cut out and compared by their bytes, each with the
-first of its hash, dealt over salts. The texts are shuffled twice, by a key unique to the row: to cut
-out what is compared, and to remove what was equal. Both joins are merge joins at every size.
+Chunks are runs of whole lines with ``least_words`` words or more. Every line with a word begins one: a
+hash rolls over the hashes of the lines from there until the words suffice, and every line ends one that
+is found in the same way backwards. So where a chunk begins and ends depends on its own lines alone:
+what stands before or behind a passage, and where it stands, moves no boundary within it, and every run
+of whole lines with enough words that occurs twice is a union of chunks that occur twice. Boundaries
+drawn only where a rolling hash has a certain remainder would miss most passages of few lines, because
+the first and the last one need a boundary that depends on the neighbours.
+
+Chunks that occur anywhere else in the corpus, in an earlier row or earlier in the same text, are removed
+once all their lines are compared byte by byte. What is removed stays where it occurs first: each
+removed line is equal to one at an earlier place that is not removed. Lines without a word don't count
+and go with the chunk they stand in or behind.
+
+How it scales. Rows are numbered in a copy written once, so that all jobs mean the same row by a number,
+however the scan is split. What is shuffled is a hash, its lines' hashes and a place for each chunk,
+combined map-side by hash, so that a chunk that a third of all rows share is one row per task; the join
+that finds the copies deals such chunks out. The lines of repeated chunks are compared by the least and the greatest
+line of a hash, also combined map-side. The texts are shuffled twice, by the row's number.
 
 Defined cases. A null text stays null, an empty one empty. A text of which all is removed becomes
 empty; the row stays. Repeated rows keep the text in the first of them. Repeated chunks within one
-text count as copies. An empty table gives an empty result. All other columns pass through unread.
+text count as copies. Words are runs of other characters than space and U+0009 to U+000D. A chunk
+with a line whose hash another line has, too, is left. An empty table gives an empty result. All other
+columns pass through unread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, written
-from .graph import salted_join
-
-
-def chunks(text: Column, window: int, modulus: int, long_bytes: int) -> Column:
-    """The chunks of a text in order; joined by line ends they give the text."""
-
-    def line(x: Column) -> Column:
-        return F.struct(x.alias("x"), F.xxhash64(x).alias("h"), (F.octet_length(x) >= long_bytes).alias("long"))
-
-    def begins(lines: Column) -> Callable[[Column, Column], Column]:
-        def of(at: Column, i: Column) -> Column:
-            rolling = F.xxhash64(*(at["h"] if not k else F.coalesce(F.get(lines, i - k)["h"], F.lit(0).cast("long")) for k in range(window)))
-            return F.when((i == 0) | (F.pmod(rolling, F.lit(modulus)) == 0) | at["long"] | F.coalesce(F.get(lines, i - 1)["long"], F.lit(False)), i)
-
-        return of
-
-    def cut(lines: Column) -> Column:
-        starts = F.filter(F.transform(lines, begins(lines)), lambda i: i.isNotNull())
-        return let(starts, lambda at: F.transform(at, lambda s, i: F.array_join(F.transform(F.slice(lines, s + 1, F.coalesce(F.get(at, i + 1), F.size(lines)) - s), lambda x: x["x"]), "\n")))
-
-    return let(F.transform(F.split(text, "\n"), line), cut)
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", window: int = 2, modulus: int = 4, long_bytes: int = 240, min_bytes: int = 72) -> DataFrame:
-    """docs with the text's repeated chunks removed, and how much: __removed_chunks and __removed_bytes."""
-    base = docs.withColumn("__row", F.monotonically_increasing_id())
-    of_text = chunks(F.col(text), window, modulus, long_bytes)
-    # A hash for each chunk long enough, null for the others.
-    hashes = F.transform(of_text, lambda c: F.when(F.octet_length(c) >= min_bytes, F.xxhash64(c)))
-    hashed = base.select("__row", F.posexplode(hashes).alias("place", "hash")).where("hash is not null")
-    hashed = written(hashed, "hashed")
-    at = F.struct(F.col("__row").alias("row"), F.col("place").alias("place"))
-    repeated = written(hashed.groupBy("hash").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first"), "repeated")
-    copies = salted_join(hashed, repeated, "hash", F.xxhash64("__row", "place"))
-    piece = F.struct("place", "hash", ((F.col("first.row") == F.col("__row")) & (F.col("first.place") == F.col("place"))).alias("is_first"))
-    wanted = written(copies.groupBy("__row").agg(F.collect_list(piece).alias("__wanted")), "wanted")
-    cut_out = base.select("__row", F.col(text).alias("__text")).join(wanted.hint("merge"), "__row")
-    pick = let(chunks(F.col("__text"), window, modulus, long_bytes), lambda cs: F.transform("__wanted", lambda w: F.struct(w["place"].alias("place"), w["hash"].alias("hash"), w["is_first"].alias("is_first"), F.get(cs, w["place"]).alias("chunk"))))
-    texts = written(cut_out.select("__row", F.explode(pick).alias("p")).select("__row", "p.*"), "texts")
-    originals = texts.where("is_first").select("hash", F.col("chunk").alias("original"))
-    same = salted_join(texts.where("not is_first"), originals, "hash", F.xxhash64("__row", "place")).where("chunk = original")
-    removed = written(same.groupBy("__row").agg(F.collect_list("place").alias("__gone"), F.sum(F.octet_length("chunk")).cast("long").alias("__bytes")), "removed")
-    joined = base.join(removed.hint("merge"), "__row", "left")
-    rest = let(F.col("__gone"), lambda gone: F.filter(F.transform(of_text, lambda c, i: F.when(~F.array_contains(gone, i), c)), lambda c: c.isNotNull()))
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    count = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    return joined.withColumns({text: cleaned, "__removed_chunks": count, "__removed_bytes": F.coalesce("__bytes", F.lit(0).cast("long"))}).select(*docs.columns, "__removed_chunks", "__removed_bytes")
+from .graph import spread_join
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+#: Where words are not told apart by single spaces.
+ODD = ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n")
+
+
+def _lines(text: Column) -> Column:
+    """The lines with a word: place, hash and words."""
+
+    def words(x: Column, odd: Column) -> Column:
+        spaces = F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+        return F.when(odd, F.regexp_count(x, F.lit(WORD))).when(x == "", 0).otherwise(spaces + 1)
+
+    def lines(odd: Column) -> Column:
+        line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), words(x, odd).alias("w"))
+        return F.filter(F.transform(F.split(text, "\n"), line), lambda s: s["w"] > 0)
+
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in ODD:
+        odd = odd | F.contains(text, F.lit(mark))
+    return let(F.coalesce(odd, F.lit(False)), lines)
+
+
+def chunks(text: Column, least_words: int) -> Column:
+    """Chunks of a text: first line, last line with what follows it without a word, hash, hashes of the lines."""
+    least = F.lit(least_words)
+
+    def taken(run: Column) -> Column:
+        """How many lines of a run make up the words; null if all of them don't."""
+        none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+        add = lambda a, x: F.when(a["w"] >= least, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n")))
+        return F.aggregate(run, none, add, lambda a: F.when(a["w"] >= least, a["n"]))
+
+    def spans(ls: Column) -> Column:
+        span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        on = F.transform(ls, lambda x, i: span(i, i - 1 + F.when(x["w"] >= least, F.lit(1)).otherwise(taken(F.slice(ls, i + 1, least)))))
+        back = F.transform(ls, lambda x, i: span(i + 1 - F.when(x["w"] >= least, F.lit(1)).otherwise(taken(F.reverse(F.slice(ls, F.greatest(i + 2 - least, F.lit(1)), F.least(i + 1, least))))), i))
+        return F.filter(F.array_distinct(F.concat(on, back)), lambda s: s["a"].isNotNull() & s["b"].isNotNull())
+
+    def chunk(ls: Column) -> Column:
+        def of(s: Column) -> Column:
+            hashes = F.transform(F.slice(ls, s["a"] + 1, s["b"] - s["a"] + 1), lambda x: x["h"])
+            end = F.coalesce(F.get(ls, s["b"] + 1)["at"] - 1, F.lit(2**31 - 1))
+            return F.struct(F.get(ls, s["a"])["at"].alias("first"), end.alias("last"), F.xxhash64(hashes).alias("hash"), hashes.alias("lines"))
+
+        return F.transform(spans(ls), of)
+
+    return let(_lines(text), chunk)
+
+
+def _places(spans: Column, lines: Column) -> Column:
+    """The places of lines that spans cover, each once."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], F.least(s["last"], F.size(lines) - 1)))))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", least_words: int = 50) -> DataFrame:
+    """docs with the text's repeated chunks removed, and how much: __removed_lines and __removed_bytes."""
+    base = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("doc")), "numbered")
+    whole = F.col(f"doc.`{text}`")
+    found = written(base.select("__row", F.explode(chunks(whole, least_words)).alias("c")).select("__row", "c.*"), "chunks")
+    at = F.struct(F.col("__row").alias("row"), F.col("first").alias("first"))
+    repeated = written(found.groupBy("hash").agg(F.min(at).alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    is_copy = (F.col("original.row") != F.col("__row")) | (F.col("original.first") != F.col("first"))
+    again = spread_join(found, repeated, "hash", F.xxhash64("__row", "first"))
+    again = written(again.select("__row", "first", "last", "lines", is_copy.alias("copy")), "again")
+    by_row = lambda rows: rows.groupBy("__row").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
+
+    # Lines of repeated chunks that have one hash and different bytes.
+    joined = base.select("__row", whole.alias("__text")).join(by_row(again).hint("merge"), "__row")
+    compared = joined.select(F.explode(let(F.split("__text", "\n"), lambda ls: F.transform(_places("__spans", ls), lambda i: F.get(ls, i)))).alias("line"))
+    unlike = compared.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("h")
+    unlike = written(unlike, "unlike")
+    spoilt = again.where("copy").select("__row", "first", "last", F.explode("lines").alias("h")).join(unlike, "h", "left_semi").select("__row", "first", "last").distinct()
+    gone = by_row(again.where("copy").join(written(spoilt, "spoilt"), ["__row", "first", "last"], "left_anti"))
+
+    joined = base.join(gone.hint("merge"), "__row", "left")
+    lines = F.split(whole, "\n")
+    out = let(
+        F.struct(lines.alias("lines"), _places(F.col("__spans"), lines).alias("gone")),
+        lambda x: F.struct(
+            F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"]), lambda i: F.get(x["lines"], i)), "\n").alias("text"),
+            F.size(x["gone"]).alias("n"),
+        ),
+    )
+    done = joined.withColumn("__out", F.when(F.col("__spans").isNotNull(), out))
+    left = F.when(F.col("__out").isNull(), whole).otherwise(F.col("__out.text"))
+    size = (F.octet_length(whole) - F.octet_length("__out.text")).cast("long")
+    counts = {"__removed_lines": F.coalesce("__out.n", F.lit(0)), "__removed_bytes": F.coalesce(size, F.lit(0).cast("long"))}
+    kept = [(left if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c not in counts]
+    return done.select(*kept, *(c.alias(n) for n, c in counts.items()))
 
 
 def op8_line_dedup(spark, sf_dir):
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("__removed_chunks").alias("removed_chunks"), F.col("__removed_bytes").alias("removed_bytes"))
+    return dedup_lines(docs).select("doc_id", "text", F.col("__removed_lines").alias("removed_lines"), F.col("__removed_bytes").alias("removed_bytes"))

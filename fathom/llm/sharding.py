@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, written
-from .graph import salted_join
+from .graph import spread_join
 
 CELLS = 1 << 14
 
@@ -199,16 +199,16 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("key"))
     rows = written(rows, "sizes")
     first = F.coalesce("doc_id", F.lit(-(2**63)))
-    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size"), F.min(first).alias("first")), "groups")
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size"), F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "groups")
     # Groups of one smallest doc_id (a doc_id that repeats with other texts) are told apart by their keys.
-    running = written(_running(groups.select("first", "key", "size"), ["first", "key"], "size", "upto"), "running")
+    running = written(_running(groups.select("first", "key", "size", "n"), ["first", "key"], "size", "upto"), "running")
     cuts = even_cuts(running, shards)
     shard = F.lit(0)
     for c in cuts[:-1]:
         shard = shard + (F.col("upto") > c).cast("int")
-    places = written(running.select("key", F.col("upto").alias("place"), shard.alias("shard")), "places")
-    placed = salted_join(rows, places, "key", F.xxhash64("doc_id")).select("doc_id", "size", "text_crc32", "place", "shard").withColumn("one", F.lit(1).cast("long"))
-    ranked = _running(placed, ["place", "doc_id"], "one", "rank")
+    places = written(running.select("key", F.col("upto").alias("place"), shard.alias("shard"), "n"), "places")
+    placed = spread_join(rows.withColumn("tie", F.monotonically_increasing_id()), places, "key", F.xxhash64("tie")).select("doc_id", "tie", "size", "text_crc32", "place", "shard").withColumn("one", F.lit(1).cast("long"))
+    ranked = _running(placed, ["place", "doc_id", "tie"], "one", "rank")
     ranked = written(ranked, "ranked")
     before, starts = 0, F.lit(0).cast("long")
     for r in sorted(ranked.groupBy("shard").count().collect(), key=lambda r: r.shard):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .graph import salted_join
+from .graph import spread_join
 
 END = "\r\n\r\n"
 CRLF = "\r\n"
@@ -46,7 +46,7 @@ def resolve_revisits(headers: DataFrame, least: int = 1000) -> DataFrame:
     """record_key, payload_digest and refers_to, once each, of the records that revisit another: of equal payloads the largest key is the response."""
     large = headers.where(F.col("payload_bytes") >= least).select("record_key", "payload_bytes", "payload_digest")
     original = large.groupBy("payload_digest", "payload_bytes").agg(F.max("record_key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = salted_join(large.withColumnRenamed("payload_bytes", "__bytes"), original, "payload_digest", F.xxhash64("record_key"))
+    found = spread_join(large.withColumnRenamed("payload_bytes", "__bytes"), original, "payload_digest", F.xxhash64("record_key"))
     return found.where("__bytes = payload_bytes and record_key != refers_to").select("record_key", "payload_digest", "refers_to").distinct()
 
 
