@@ -1,26 +1,26 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds are runs of ``least`` words that a document and a benchmark item share, found by their
-Karp-Rabin hashes and joined with the item's places. Seeds grow into maximal matches; the longest
-match whose words are not yet marked becomes a tile, again and again, until none of ``least`` words is
+Karp-Rabin hashes and joined with the item's places. Items whose seeds reach far enough are tiled: the
+longest match of words not yet marked becomes a tile, again and again, until none of ``least`` words is
 left. An item leaks into a document when its tiles cover ``coverage`` of its words, in whatever order
 its passages stand.
 
 How it scales. The benchmark is a stated query set: it is taken in blocks of at most ``block_bytes``
 of text, each small enough to be sent to every task, and each block runs against all documents in one
-pass without a shuffle. Whole texts are hashed with rolling arithmetic in vectors; only documents with
-enough seeds of an item are tiled.
+pass without a shuffle. Whole texts are hashed with rolling arithmetic in vectors. Tiling never lists
+pairs of places: Karp-Rabin runs over the text and the item for one length at a time, the longest that
+still occurs, which is found by bisection, so that texts of one word again and again cost no more than
+others: the work is the text's length times the number of different tile lengths.
 
 Defined cases. Null and empty texts hold nothing; items with fewer words than ``least`` can't be told
-from chance and never leak. Items of one text each have their rows, and so have repeated documents. An
-empty table on either side gives an empty result. Columns other than the keys and the texts are not
-read by leaks(); clean() passes all columns through.
+from chance and never leak. Items of one text each have their rows, and so have repeated documents. A
+null item_id or doc_id stays null. An empty table on either side gives an empty result. Columns other
+than the keys and the texts are not read by leaks(); clean() passes all columns through.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,38 +44,93 @@ def _windows(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def tiles(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in a, start in b, length), the longest first, from the places at which windows of ``least`` equal words begin."""
-    heap, known = [], set(seeds)
-    for i, j in known:
-        if (i - 1, j - 1) in known:
-            continue  # not the beginning of a maximal match
-        n = 1
-        while (i + n, j + n) in known:
-            n += 1
-        heap.append((-(n + least - 1), i, j))
-    heapq.heapify(heap)
+class _Prefixes:
+    """Karp-Rabin hashes of a sequence's windows of any length, from its prefixes."""
+
+    def __init__(self, ids: np.ndarray, powers: np.ndarray) -> None:
+        self.powers, self.n = powers, len(ids)
+        with np.errstate(over="ignore"):
+            # Running sums of id * BASE^(n - 1 - place); of() brings windows to one scale, wherever they start.
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * powers[np.arange(self.n - 1, -1, -1)], dtype=np.uint64)])
+
+    def of(self, starts: np.ndarray, size: int, scale: int) -> np.ndarray:
+        """Hashes at one scale for all sequences of at most ``scale`` words."""
+        with np.errstate(over="ignore"):
+            return (self.sums[starts + size] - self.sums[starts]) * self.powers[scale - self.n + starts]
+
+
+def _free(marked: np.ndarray, size: int) -> np.ndarray:
+    """Starts of the windows without a mark."""
+    marks = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(marks[size:] == marks[:-size]) if size <= len(marked) else np.zeros(0, int)
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in a, start in b, length) of two sequences of numbers, the longest first, of one length the first in a, then in b."""
+    scale = max(len(a), len(b))
+    powers = np.empty(scale + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        powers[0] = 1
+        powers[1:] = np.cumprod(np.full(scale, BASE), dtype=np.uint64)
+    of_a, of_b = _Prefixes(a, powers), _Prefixes(b, powers)
     in_a, in_b, out = np.zeros(len(a), bool), np.zeros(len(b), bool), []
-    while heap:
-        length, i, j = heapq.heappop(heap)
-        n = -length
-        taken = in_a[i : i + n] | in_b[j : j + n]
-        if not taken.any():
-            in_a[i : i + n] = True
-            in_b[j : j + n] = True
-            out.append((i, j, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what is left of it, between marks
-            if e - s >= least:
-                heapq.heappush(heap, (-(e - s), i + s, j + s))
-    return out
+
+    def found(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        at_b = _free(in_b, size)
+        at_a = _free(in_a, size) if len(at_b) else at_b
+        if not len(at_a):
+            return None
+        h_b, h_a = of_b.of(at_b, size, scale), of_a.of(at_a, size, scale)
+        hit = np.isin(h_a, h_b)
+        return (at_a[hit], h_a[hit], at_b, h_b) if hit.any() else None
+
+    high = min(len(a), len(b)) + 1
+    while True:
+        low, best = least - 1, None  # matches of length low occur, of length high don't
+        while high - low > 1:
+            # Lengths near the least come first: most texts share little.
+            mid = min((low + high) // 2, 2 * low + 1)
+            got = found(mid)
+            low, high, best = (mid, high, got) if got else (low, mid, best)
+        if best is None:
+            return out
+        at_a, h_a, at_b, h_b = best
+        order = np.argsort(h_b, kind="stable")
+        queues: dict[int, list[int]] = {}
+        for h, j in zip(h_b[order][::-1].tolist(), at_b[order][::-1].tolist(), strict=True):
+            queues.setdefault(h, []).append(j)  # the smallest place is the last
+        wanted = {h for h in set(h_a.tolist()) if h in queues}
+        end_a = -1
+        for i, h in zip(at_a.tolist(), h_a.tolist(), strict=True):
+            if i < end_a or h not in wanted:
+                continue
+            queue, kept = queues[h], []
+            while queue:
+                j = queue.pop()
+                if in_b[j : j + low].any():
+                    continue  # for good
+                if (a[i : i + low] != b[j : j + low]).any():  # equal hashes of different words
+                    kept.append(j)
+                    continue
+                in_a[i : i + low] = True
+                in_b[j : j + low] = True
+                out.append((i, j, low))
+                end_a = i + low
+                break
+            queue += kept[::-1]
+            if not queue:
+                wanted.discard(h)
+                if not wanted:
+                    break
+        high = low if low > least else least
+        if low == least:
+            return out
 
 
 class Seeds:
     """The windows of a block of items, by hash."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], least: int) -> None:
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], least: int) -> None:
         self.least, self.vocabulary, self.items = least, {}, []
         hashes, which, place = [], [], []
         for key, words in items:
@@ -92,7 +147,7 @@ class Seeds:
         self.hashes = h[order]
         self.which, self.place = (np.concatenate(x)[order] if x else np.zeros(0, int) for x in (which, place))
 
-    def match(self, words: list[bytes], coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+    def match(self, words: list[bytes], coverage: float) -> Iterator[tuple[int | None, float, list[tuple[int, int, int]]]]:
         """Items that leak into a text: key, share of the item's words under tiles, tiles."""
         size = self.least
         if len(words) < size or not len(self.hashes):
@@ -107,27 +162,27 @@ class Seeds:
             h = np.zeros(len(full), np.uint64)
             for k in range(size):
                 h = h * BASE + ids[full + k]
+        h = np.unique(h)
         low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at in np.flatnonzero(high > low).tolist():
-            for s in range(low[at], high[at]):
-                by_item[int(self.which[s])].append((int(full[at]), int(self.place[s])))
-        for k, seeds in sorted(by_item.items()):
+        low, times = low[high > low], (high - low)[high > low]
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())  # each window of the block that the text has
+        which, place = self.which[at], self.place[at]
+        order = np.argsort(which, kind="stable")
+        which, place = which[order], place[order]
+        for k, places in zip(np.unique(which).tolist(), np.split(place, np.flatnonzero(np.diff(which)) + 1), strict=True) if len(which) else ():
             key, item = self.items[k]
             covered = np.zeros(len(item) + 1, np.int64)
-            for j in {j for _, j in seeds}:
-                covered[j] += 1
-                covered[j + size] -= 1
+            np.add.at(covered, places, 1)
+            np.add.at(covered, places + size, -1)
             if (np.cumsum(covered)[:-1] > 0).sum() < coverage * len(item):
                 continue  # tiles lie within the seeds
-            seeds = [(i, j) for i, j in seeds if (ids[i : i + size] == item[j : j + size]).all()]  # equal hashes are compared
-            found = tiles(ids, item, seeds, size)
+            found = tiles(ids, item, size)
             share = sum(n for _, _, n in found) / len(item)
             if share >= coverage:
                 yield key, share, found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
     """The items in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0]
@@ -136,7 +191,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
     n = -(-total // block_bytes)
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted((r.item_id if r.item_id is not None else -1, words_of(r.text)) for r in block.collect())
+        yield sorted(((r.item_id, words_of(r.text)) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 LEAKS = "doc_id long, item_id long, coverage double, tiles array<struct<doc_word long, item_word long, words long>>"
