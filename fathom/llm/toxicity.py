@@ -2,21 +2,25 @@
 
 Two models of how words are spelt, one of toxic and one of ordinary texts, are learnt from labelled
 documents. A word's probability is the product, from its first character on, of the probabilities of
-each longer beginning given the one before (and at last of the word's end). Each is an absolutely
-discounted class count, interpolated with a backoff that both classes share: the number of different
-words, of either class, that begin so. So an expression never seen before is judged by the longest
+each character after the word's beginning so far (and at last of the word's end). Each is an absolutely
+discounted class count, interpolated with a backoff that both classes share: in how many different words
+of either class the character follows that beginning, discounted in turn and interpolated with the Kneser-Ney
+continuation probability of the character after the last ``LOWER`` characters, that is in how many different
+beginnings it follows them. So an expression never seen before is judged by the longest
 beginning that was seen, and where neither class has seen anything both models agree.
 
-A text's features are length-normalised differences of log-likelihood: over the whole text and over
-its most toxic window of words. A logistic curve, fitted on labelled rows that the counts leave out,
-turns them into a score.
+A text's log-likelihoods under both models are compared by their difference a word: over the whole text,
+over its most toxic window of words, and by what words exceed a margin by, against the root of the length. A logistic curve,
+fitted on labelled rows that the counts leave out, turns the three into a score.
 
 How it scales. Word counts by class are combined map-side; beginnings are counted from the vocabulary,
-not from the running text. What the counts gather grows with the labelled input and stays distributed;
-what is broadcast is a table of a fixed number of slots, each held by the expression with most
-evidence, and rarer ones fall back to their beginnings. Scoring is one pass with no shuffle. Labels
-are broadcast only up to ``small_labels`` rows; beyond, the labelled texts are shuffled by doc_id.
-``most_fit`` bounds the rows that the logistic curve is fitted on.
+not from the running text. The model grows with the labelled input and stays distributed. Beginnings
+of which each class has one text at most differ in nothing from beginnings never seen (a count of one is
+discounted whole) and are left out, which changes no score. What remains is cut by the words' first two characters into
+parts of at most ``part_nodes`` beginnings (16 bytes each) on average; a task holds a part for each step, a word is in
+one part, and one pass of the texts through as many steps as parts does it, without a shuffle and with the same result. Labels are broadcast only up to ``small_labels`` rows; beyond, the
+labelled texts are shuffled by doc_id. ``most_fit`` bounds the rows that the logistic curve is fitted on: as many
+are held back from the counts, a fifth of the labelled rows at most.
 
 Defined cases. Null and empty texts have differences of 0 and the score of such a text. A doc_id that
 is labelled more than once is toxic if one label says so; null labels are not used. Without labelled
@@ -26,25 +30,30 @@ empty table gives an empty result. Columns other than doc_id and text are not re
 
 from __future__ import annotations
 
-import struct
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from .common import written
 from .licenses import words_of
 
-SLOTS = 1 << 20
 #: What is taken off counts of 1, 2, and 3 or more: a word of a single text is no evidence of its class.
 DISCOUNTS = (1.0, 1.3, 1.6)
+#: What is taken off the number of different words in the shared backoff.
+TYPE_DISCOUNT = 0.1
+#: Characters of the longest beginning, the models' order; the whole word follows it.
 DEPTH = 10
-WINDOW = 2
+#: Characters of the history that both classes share.
+LOWER = 3
 END = "\n"
+PART_NODES = 1 << 21
 
 
 def _remainder() -> Column:
@@ -55,11 +64,12 @@ def held_out() -> Column:
     return F.coalesce(_remainder() % 3 == 1, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, small_labels: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, small_labels: int) -> tuple[DataFrame, int]:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
-    if known.count() <= small_labels:
+    rows = known.count()
+    if rows <= small_labels:
         known = F.broadcast(known)
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(known, "doc_id"), rows
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,70 +83,105 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "ordinary", "toxic"])
 
 
-def spelling_model(labelled: DataFrame, slots: int = SLOTS, depth: int = DEPTH) -> np.ndarray:
-    """Slots of (check, difference, escape) from rows (text, toxic): log-likelihood differences of a beginning given the one before, and of anything unseen after it."""
+def spelling_model(labelled: DataFrame, depth: int = DEPTH, lower: int = LOWER) -> DataFrame:
+    """Rows (node, begin, delta, escape) from rows (text, toxic).
+
+    ``delta`` is the difference of log-likelihood of a beginning given the one before, ``escape`` that of anything
+    unseen after it; ``begin`` has the first two characters. The root, '', has only an escape. Beginnings that
+    are no evidence are left out.
+    """
     vocabulary = written(labelled.select("text", "toxic").mapInArrow(_word_counts, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "vocabulary")
-    begin = lambda n: F.substring("word", 1, n)
-    chain = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.length("word"))), lambda n: F.struct(F.xxhash64(F.substr("word", F.lit(1), n)).alias("node"), F.when(n > 1, F.xxhash64(F.substr("word", F.lit(1), n - 1))).otherwise(F.lit(0).cast("long")).alias("parent")))
-    end = F.array(F.struct(F.xxhash64(F.concat("word", F.lit(END))).alias("node"), F.xxhash64(begin(depth)).alias("parent")))
+    begin = lambda n: F.substr("word", F.lit(1), n)
+    chain = F.transform(F.sequence(F.lit(1), F.least(F.lit(depth), F.length("word"))), lambda n: F.struct(begin(n).alias("node"), begin(n - 1).alias("parent")))
+    end = F.array(F.struct(F.concat("word", F.lit(END)).alias("node"), begin(F.lit(depth)).alias("parent")))
     steps = vocabulary.where("word != ''").select(F.explode(F.concat(chain, end)).alias("s"), "ordinary", "toxic").select("s.*", "ordinary", "toxic")
-    nodes = written(steps.groupBy("node", "parent").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("types")), "nodes")
+    nodes = steps.groupBy("node", "parent").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("words"))
+    # The last characters of the history, and with what follows: the rest of the word behind a longest beginning.
+    history = F.when(F.length("parent") > lower, F.substr("parent", F.length("parent") - (lower - 1), F.lit(lower))).otherwise(F.col("parent"))
+    nodes = written(nodes.select("*", history.alias("history"), F.substr("node", F.length("parent") + 1, F.length("node")).alias("next")), "nodes")
+    # In how many beginnings something follows a history.
+    follows = nodes.groupBy("history", "next").agg(F.count(F.lit(1)).alias("types"))
+    histories = nodes.groupBy("history").agg(F.count(F.lit(1)).alias("all_types"))
     off = lambda c: F.least(F.col(c).cast("double"), F.when(F.col(c) <= 1, F.lit(DISCOUNTS[0])).when(F.col(c) == 2, F.lit(DISCOUNTS[1])).otherwise(F.lit(DISCOUNTS[2])))
-    parents = nodes.groupBy("parent").agg(F.sum("o").alias("po"), F.sum("t").alias("pt"), F.sum("types").alias("ptypes"), F.sum(off("o")).alias("fo"), F.sum(off("t")).alias("ft"))
+    parents = nodes.groupBy("parent").agg(F.sum("o").alias("po"), F.sum("t").alias("pt"), F.sum(off("o")).alias("fo"), F.sum(off("t")).alias("ft"), F.sum("words").alias("all_words"), F.count(F.lit(1)).alias("nexts"))
+    # Both classes' different words, discounted, and what that frees by the shorter history.
+    shared = (F.col("words") - F.lit(TYPE_DISCOUNT) + F.lit(TYPE_DISCOUNT) * F.col("nexts") * F.col("types") / F.col("all_types")) / F.col("all_words")
 
     def p(c: str, total: str, freed: str) -> Column:
-        shared = F.col("types") / F.col("ptypes")
         return F.when(F.col(total) > 0, (F.col(c) - off(c) + F.col(freed) * shared) / F.col(total)).otherwise(shared)
 
     unseen = lambda total, freed: F.when(F.col(total) > 0, F.col(freed) / F.col(total)).otherwise(F.lit(1.0))
-    scored = nodes.join(parents, "parent").select("node", (F.col("o") + F.col("t")).alias("weight"), F.log(p("t", "pt", "ft") / p("o", "po", "fo")).alias("delta"))
-    escapes = parents.select(F.col("parent").alias("node"), F.log(unseen("pt", "ft") / unseen("po", "fo")).alias("escape"))
-    slot = F.pmod("node", F.lit(slots)).cast("int")
-    both = scored.join(escapes, "node", "left").select(slot.alias("slot"), F.struct("weight", "node").alias("order"), F.struct(F.shiftright("node", 32).cast("int").alias("check"), F.col("delta").cast("float").alias("delta"), F.coalesce("escape", F.lit(0.0)).cast("float").alias("escape")).alias("v"))
-    held = both.groupBy("slot").agg(F.max_by("v", "order").alias("v")).select("slot", "v.*").toArrow()
-    table = np.zeros(slots, [("check", "<i4"), ("delta", "<f4"), ("escape", "<f4"), ("used", "?")])
-    at = held.column("slot").to_numpy()
-    for name in ("check", "delta", "escape"):
-        table[name][at] = held.column(name).to_numpy()
-    table["used"][at] = True
-    return table
+    seen = nodes.where("o > 1 or t > 1").join(parents, "parent").join(follows, ["history", "next"]).join(histories, "history")
+    scored = seen.select("node", F.log(p("t", "pt", "ft") / p("o", "po", "fo")).alias("delta"))
+    escapes = parents.where("po > 1 or pt > 1").select(F.col("parent").alias("node"), F.log(unseen("pt", "ft") / unseen("po", "fo")).alias("escape"))
+    both = scored.join(escapes, "node", "full").select("node", F.substr("node", F.lit(1), F.lit(2)).alias("begin"), *(F.coalesce(c, F.lit(0.0)).cast("float").alias(c) for c in ("delta", "escape")))
+    return written(both, "model")
+
+
+def part_of(begin: Column | str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(begin), F.lit(parts)).cast("int")
+
+
+def part_of_word(word: str, parts: int) -> int:
+    h = xxhash.xxh64_intdigest(word[:2].encode(), 42)
+    return (h - 2**64 if h >= 2**63 else h) % parts
+
+
+@dataclass
+class Part:
+    """One of ``parts`` parts of a model: sorted hashes of beginnings, with their differences."""
+
+    number: int
+    parts: int
+    keys: np.ndarray
+    delta: np.ndarray
+    escape: np.ndarray
+
+
+def model_parts(model: DataFrame, part_nodes: int = PART_NODES) -> Iterator[Part]:
+    """The model in parts; beginnings of less than two characters are in each of them."""
+    parts = -(-model.count() // part_nodes) or 1
+    for k in range(parts):
+        rows = model.where((part_of("begin", parts) == k) | (F.length("begin") < 2)).select(F.xxhash64("node").alias("key"), "delta", "escape").toArrow()
+        keys = rows.column("key").to_numpy()
+        order = np.argsort(keys)
+        yield Part(k, parts, keys[order], rows.column("delta").to_numpy()[order], rows.column("escape").to_numpy()[order])
 
 
 class Speller:
-    """Differences of log-likelihood of words, of a model from spelling_model()."""
+    """Differences of log-likelihood of words by a part of a model; None for words of other parts."""
 
-    def __init__(self, table: np.ndarray, depth: int = DEPTH, cache: int = 200_000) -> None:
-        self.depth, self.slots, self.limit = depth, len(table), cache
+    def __init__(self, part: Part, depth: int = DEPTH, cache: int = 200_000) -> None:
+        self.part, self.depth, self.limit = part, depth, cache
         self.known: dict[bytes, float] = {}
         self.begun: dict[str, tuple[float, float, bool]] = {}
-        self.c, self.d, self.e, self.u = (np.ascontiguousarray(table[n]) for n in ("check", "delta", "escape", "used"))
+        root = self._find("")
+        self.begun[""] = (0.0, root[1] if root else 0.0, True)
+        self.root = self.begun[""]
 
-    def _find(self, piece: bytes) -> tuple[float, float] | None:
-        h = xxhash.xxh64_intdigest(piece, 42)
-        s = h % self.slots
-        (check,) = struct.unpack("<i", struct.pack("<I", h >> 32))
-        return (float(self.d[s]), float(self.e[s])) if self.u[s] and self.c[s] == check else None
+    def _find(self, piece: str) -> tuple[float, float] | None:
+        h = xxhash.xxh64_intdigest(piece.encode(), 42)
+        h = h - 2**64 if h >= 2**63 else h
+        at = int(self.part.keys.searchsorted(h))
+        return (float(self.part.delta[at]), float(self.part.escape[at])) if at < len(self.part.keys) and self.part.keys[at] == h else None
 
     def _begin(self, piece: str) -> tuple[float, float, bool]:
         """Sum of the differences up to and with a beginning; the escape behind it; whether it was seen."""
         got = self.begun.get(piece)
         if got is None:
-            if not piece:
-                return 0.0, 0.0, True
             total, escape, seen = self._begin(piece[:-1])
-            if seen:
-                found = self._find(piece.encode())
-                got = (total + found[0], found[1], True) if found else (total + escape, 0.0, False)
-            else:
-                got = total, escape, False
+            found = self._find(piece) if seen else None
+            got = (total + found[0], found[1], True) if found else (total + escape, 0.0, False)
             self.begun[piece] = got
         return got
 
     def difference(self, word: bytes) -> float:
         text = word.decode()
+        if self.part.parts > 1 and part_of_word(text, self.part.parts) != self.part.number:
+            return 0.0
         total, escape, seen = self._begin(text[: self.depth])
         if seen:
-            found = self._find((text + END).encode())
+            found = self._find(text + END)
             total += found[0] if found else escape
         return total
 
@@ -144,17 +189,18 @@ class Speller:
         if len(self.known) > self.limit:
             self.known.clear()
         if len(self.begun) > self.limit:
-            self.begun.clear()
+            self.begun = {"": self.root}
         for w in set(words).difference(self.known):
             self.known[w] = self.difference(w)
         return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
 
+WINDOW = 2
 FEATURES = 3
 
 
 def features(differences: np.ndarray, margin: float = 2.5) -> list[float]:
-    """Mean difference; the most toxic window's mean; and what words exceed the margin by, against the root of the length, as chance excess grows with it."""
+    """Differences of log-likelihood normalised by length: a word's mean over the whole text; over the most toxic window; and what words exceed the margin by, against the root of the length, as chance excess grows with it."""
     n = len(differences)
     if not n:
         return [0.0] * FEATURES
@@ -164,15 +210,28 @@ def features(differences: np.ndarray, margin: float = 2.5) -> list[float]:
     return [float(np.clip(differences, -0.5, 6.0).mean()), float((sums[size:] - sums[:-size]).max()) / WINDOW, float(np.log1p(10 * excess))]
 
 
-def _featured(docs: DataFrame, model, extra: list[str], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(model.value)
-        for b in batches:
-            got = [features(speller.of(words_of(t.as_py()))) for t in b.column("text")]
-            cols = list(zip(*got, strict=True)) or [[]] * FEATURES
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in extra), *(pa.array(c, pa.float64()) for c in cols)], names=[*extra, *(f"x{i}" for i in range(FEATURES))])
+def _featured(docs: DataFrame, parts: list, keep: list[str]) -> DataFrame:
+    """The kept columns and __x0, __x1, ...: the texts go through one step for each part of the model, and between steps with the words' differences so far."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    for number, part in enumerate(parts):
+        last = number == len(parts) - 1
+        names = [*keep, *(f"__x{i}" for i in range(FEATURES))] if last else [*keep, *([] if "text" in keep else ["text"]), "__so_far"]
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, names=names, number=number, last=last) -> Iterator[pa.RecordBatch]:
+            speller = Speller(part.value)
+            for b in batches:
+                found = [speller.of(words_of(t.as_py())) for t in b.column("text")]
+                if number:
+                    found = [d + np.frombuffer(x.as_py(), float) for d, x in zip(found, b.column("__so_far"), strict=True)]
+                if last:
+                    x = np.array([features(d) for d in found]).reshape(-1, FEATURES)
+                    new = {f"__x{i}": pa.array(x[:, i]) for i in range(FEATURES)}
+                else:
+                    new = {"__so_far": pa.array([d.tobytes() for d in found], pa.binary())}
+                yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names=names)
 
-    return docs.select(*extra, "text").mapInArrow(run, f"{schema}, " + ", ".join(f"x{i} double" for i in range(FEATURES)))
+        docs = docs.mapInArrow(run, StructType([StructField(n, kinds.get(n, BinaryType() if n == "__so_far" else DoubleType())) for n in names]))
+    return docs
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, positive: float = 2.0) -> np.ndarray:
@@ -190,51 +249,53 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, positive: flo
     return w
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, most_fit: int, small_labels: int):
-    """The broadcast model and the logistic weights."""
+def _features_of(b) -> np.ndarray:
+    return np.column_stack([b.column(f"__x{i}").to_numpy() for i in range(FEATURES)])
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, most_fit: int, small_labels: int, part_nodes: int):
+    """The broadcast parts of the model and the logistic weights."""
     spark = docs.sparkSession
-    labelled = _labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "toxic"), small_labels)
-    kept_back = F.floor(_remainder() / 3) % 5 == 0
-    model = spark.sparkContext.broadcast(spelling_model(labelled.where(~kept_back)))
-    chosen = labelled.where(kept_back).withColumn("toxic", F.col("toxic").cast("long"))
-    fit = _featured(chosen, model, ["doc_id", "toxic"], "doc_id long, toxic long").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit).toArrow()
-    x = np.column_stack([fit.column(f"x{i}").to_numpy() for i in range(FEATURES)])
-    y = fit.column("toxic").to_numpy().astype(float)
+    labelled, rows = _labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "toxic"), small_labels)
+    of_million = int(1e6 * min(0.2, most_fit / max(1, rows)))
+    kept_back = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < of_million
+    model = spelling_model(labelled.where(~kept_back))
+    parts = [spark.sparkContext.broadcast(p) for p in model_parts(model, part_nodes)]
+    chosen = labelled.where(kept_back).select("doc_id", F.col("toxic").cast("long").alias("toxic"), "text")
+    fit = _featured(chosen, parts, ["doc_id", "toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fit).toArrow()
+    x, y = _features_of(fit), fit.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
-        return model, fit_logistic(x, y)
+        return parts, fit_logistic(x, y)
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
-    return model, np.array([0.0] * FEATURES + [np.log(share / (1 - share))])
+    return parts, np.array([0.0] * FEATURES + [np.log(share / (1 - share))])
 
 
 def _score(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -700, 700)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model, weights = _fitted(docs, labels, most_fit, small_labels)
+    parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(model.value)
         for b in batches:
-            x = np.array([features(speller.of(words_of(t.as_py()))) for t in b.column("text")]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_score(x, weights))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_score(_features_of(b), weights))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, ["doc_id"]).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """docs without those of a score of ``threshold`` or more."""
-    model, weights = _fitted(docs, labels, most_fit, small_labels)
+    parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(model.value)
         for b in batches:
-            x = np.array([features(speller.of(words_of(t.as_py()))) for t in b.column("text")]).reshape(-1, FEATURES)
-            yield b.filter(pa.array(_score(x, weights) < threshold))
+            kept = b.filter(pa.array(_score(_features_of(b), weights) < threshold))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in docs.columns], names=docs.columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _featured(docs, parts, docs.columns).mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark, sf_dir):
