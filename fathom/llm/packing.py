@@ -56,7 +56,6 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.of.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.of.model, _byte_letters()
         self.cache, self.known = cache, {}
         (self.mark,) = self.of.encode(self.MARK, add_special_tokens=False).ids
@@ -102,14 +101,21 @@ class WordBpe:
         if len(self.known) > most:
             self.known.clear()
 
+    def _whole(self, text: str) -> bool:
+        """Whether words can't be taken one by one: special tokens, which stand for themselves, and marks at which Python splits and the tokenizer doesn't."""
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
+        split = [None if self._whole(t) else t.split() for t in texts]
         if len(self.known) > self.cache:
             self.known.clear()
-        self._learn({w for words in split for w in words}.difference(self.known))
+        self._learn({w for words in split if words for w in words}.difference(self.known))
         get = self.known.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(get, words)), np.uint32)
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield np.array(self.of.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield np.frombuffer(b"".join(map(get, words)), np.uint32)
 
 
 _ENCODERS: dict[str, WordBpe] = {}

@@ -310,8 +310,7 @@ def test_encoder(tokenizer):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
-    texts = ["", "  ", "a\x01b c", "ΑΣ ΣΑΣ. İstanbul ǰ J̌ é ́x a b don't it's DON'T <|endoftext|> </w> 12,3 ÀÉ× ß. ẞ K ŉ,. a.,", "\x01", "x \x01 y", "ª º µ ,. . ,", *(r[1] or "" for r in corpus())]
+    texts = ["a\x1cb \x1d\x1e c\x1f", "x <|endoftext|> y<|startoftext|>z <|END|> <| x", "<|endoftext|>", "a\x85b\u00a0c\u2028d\u3000e\u200bf", "", "  ", "a\x01b c", "ΑΣ ΣΑΣ. İstanbul ǰ J̌ é ́x a b don't it's DON'T <|endoftext|> </w> 12,3 ÀÉ× ß. ẞ K ŉ,. a.,", "\x01", "x \x01 y", "ª º µ ,. . ,", *(r[1] or "" for r in corpus())]
     for size in (300_000, 5):
         e = packing.WordBpe(tokenizer, size)
         for part in (texts, texts[:3], texts[3:]):
@@ -362,51 +361,137 @@ def test_packer_limits(cut):
         assert np.concatenate([g[1] for g in got]).tolist() == ids.tolist() and sum(g[2] for g in got) == loss.sum() and (cut or len(got) == 1)
 
 
+def plain_packing(items, limits, most_open):
+    """The dot-product heuristic without cutting, a loop for every sum."""
+    bins, out, n = [], [], 0
+
+    def close(k):
+        nonlocal n
+        out.extend((key, n) for key in bins.pop(k)[1])
+        n += 1
+
+    for key, need in items:
+        while True:
+            fits = [(k, left) for k, (left, _) in enumerate(bins) if all(x >= y for x, y in zip(left, need, strict=True))]
+            if fits:
+                exact = [k for k, left in fits if left[0] == need[0]]
+                dot = lambda left: round(sum(x * y / m / m for x, y, m in zip(left, need, limits, strict=True)), 12)
+                k = exact[0] if exact else max(fits, key=lambda f: (dot(f[1]), -f[0]))[0]
+            elif len(bins) < most_open:
+                bins.append((list(limits), []))
+                k = len(bins) - 1
+            else:
+                close(min(range(len(bins)), key=lambda k: (bins[k][0][0], k)))
+                continue
+            left, keys = bins[k]
+            keys.append(key)
+            for d, y in enumerate(need):
+                left[d] -= y
+            if min(left) <= 0:
+                close(k)
+            break
+    while bins:
+        close(0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packer_takes_the_largest_dot_product(seed):
+    rng = np.random.default_rng(seed)
+    p, out, items = packing.Packer(0, 64, 5, 32, False, 6), [], []
+    for k in range(300):
+        n = int(rng.integers(1, 40))
+        loss = rng.random(n) < 0.5
+        items.append((k, (n, 1, int(loss.sum()))))
+        out += p.add(k, np.zeros(n, np.uint32), loss)
+    out += p.end()
+    assert [(x[0], x[5]) for x in out] == plain_packing(items, (64, 5, 32), 6)
+
+
 # 8
 
 
-def plain_chunks(spark, text, **how):
-    return [r[0] for r in spark.createDataFrame([(text,)], "t string").select(F.explode(linededup.chunks(F.col("t"), **how))).collect()]
+def plain_dedup(rows, least=50):
+    """Texts in order without the lines of runs of least words that were there before; (rows of (key, text))."""
+    word, docs, first, out = re.compile(r"[^\x20\x09-\x0D]+"), [], {}, []
+    for key, text in rows:
+        lines = [] if text is None else text.split("\n")
+        at = [(i, len(word.findall(x))) for i, x in enumerate(lines) if word.search(x)]
+        runs = set()
+        for k in range(len(at)):
+            for step in (1, -1):
+                e, n = k, at[k][1]
+                while n < least and 0 <= e + step < len(at):
+                    e += step
+                    n += at[e][1]
+                if n >= least:
+                    runs.add((min(k, e), max(k, e)))
+        docs.append((key, text, lines, at, sorted(runs)))
+    content = lambda lines, at, a, e: tuple(lines[i] for i, _ in at[a : e + 1])
+    for n, (_, _, lines, at, runs) in enumerate(docs):
+        for a, e in runs:
+            first.setdefault(content(lines, at, a, e), (n, a))
+    for n, (key, text, lines, at, runs) in enumerate(docs):
+        gone = set()
+        for a, e in runs:
+            if first[content(lines, at, a, e)] != (n, a):
+                gone |= set(range(at[a][0], at[e + 1][0] if e + 1 < len(at) else len(lines)))
+        out.append((key, None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return out
 
 
-def test_chunks_give_the_text(spark):
-    how = {"window": 2, "modulus": 3, "long_bytes": 100}
-    rng = random.Random(6)
-    for text in ["", "\n", "a\n\nb\n", "x" * 300, "\n".join(prose(rng, rng.randint(0, 25)) for _ in range(50))]:
-        assert "\n".join(plain_chunks(spark, text, **how)) == text
-    shared = [prose(rng, 8) for _ in range(30)]
-    a, b = (plain_chunks(spark, "\n".join([prose(rng, 8) for _ in range(k)] + shared), **how) for k in (3, 7))
-    assert len(set(a) & set(b)) >= 5  # boundaries move with the text
+def passages(seed=7, n=60):
+    """Texts of lines of all lengths, with passages of 1 to 9 lines between lines of their own."""
+    rng = random.Random(seed)
+    shared = [[prose(rng, -(-60 // k)) for _ in range(k)] for k in (1, 1, 2, 3, 4, 6, 9)]
+    rows = []
+    for i in range(n):
+        parts = [[prose(rng, rng.choice([1, 3, 12, 40, 70]))] for _ in range(rng.randint(0, 9))] + rng.sample(shared, rng.randint(0, 2))
+        if rng.random() < 0.3:
+            parts.append(rng.choice([["", " \t"], ["short line"], ["a  b\tc " + prose(rng, 60)]]))
+        rng.shuffle(parts)
+        rows.append((i, "\n".join(x for p in parts for x in p), "en", "a", 9))
+    rows += [(90, None, None, None, None), (91, "", "en", "a", 0), (92, rows[1][1], "en", "a", 0), (93, "\n".join(shared[0] * 3), "en", "a", 0), (94, "\n".join(["ten words of text that repeat again and again here"] * 20), "en", "a", 0), rows[2], rows[2]]
+    return rows, shared
 
 
 def test_line_dedup(spark, tmp_path):
-    rng = random.Random(7)
-    passage, short = prose(rng, 60), "short line"
-    rows = [(i, "\n".join([prose(rng, 30), short, passage if i % 3 == 0 else prose(rng, 50), prose(rng, 12)]), "en", "a", 9) for i in range(12)]
-    rows += [(50, None, None, None, None), (51, "", "en", "a", 0), (52, rows[1][1], "en", "a", 0), (53, passage + "\n" + passage, "en", "a", 0), rows[2]]
+    rows, shared = passages()
     path = str(tmp_path / "d")
-    spark.createDataFrame(rows, DOCS).withColumn("hash", F.lit("clash")).coalesce(1).write.parquet(path)
+    spark.createDataFrame(rows, DOCS).withColumn("hash", F.lit("clash")).withColumn("__row", F.lit("clash")).withColumn("first", F.lit("clash")).coalesce(1).write.parquet(path)
     df = spark.read.parquet(path)
-    got = linededup.dedup_lines(df, modulus=1).collect()
-    assert len(got) == len(rows) and set(df.columns) < set(got[0].asDict())
-    # with a boundary behind every line: the first of equal long lines stays
-    seen, want = set(), []
-    for i, t, *_ in [tuple(r) for r in df.collect()]:
-        if t is None:
-            want.append((i, None))
-            continue
-        keep = []
-        for line in t.split("\n"):
-            if len(line.encode()) >= 72 and line in seen:
-                continue
-            seen.add(line)
-            keep.append(line)
-        want.append((i, "\n".join(keep)))
+    got = linededup.dedup_lines(df).collect()
+    assert set(df.columns) < set(got[0].asDict()) and {r["__row"] for r in got} == {"clash"}
+    want = plain_dedup([(r.doc_id, r.text) for r in df.collect()])
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in got)
-    assert sum((r.text or "").count(passage) for r in linededup.dedup_lines(df).collect()) == 1
+    before, after = ("\n\n".join(r.text or "" for r in x) for x in (df.collect(), got))
+    for p in shared:  # of each passage one copy stays, and no line is lost
+        assert before.count("\n".join(p)) > 1 and all(after.count(x) == 1 for x in p)
+    sizes = {r.doc_id: len((r.text or "").encode()) for r in df.collect()}
+    assert all(r["__removed_bytes"] == sizes[r.doc_id] - len((r.text or "").encode()) for r in got)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("before", "after"), [(1, 12), (4, 3), (6, 4), (3, 2)])
+def test_line_dedup_does_not_depend_on_splits(spark, tmp_path, before, after):
+    rows, _ = passages(8, 120)
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, DOCS).repartition(12, "doc_id").write.parquet(path)
+    df = spark.read.parquet(path)
+    setting = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(setting, before)
+        result = linededup.dedup_lines(df)
+        spark.conf.set(setting, after)
+        got = result.collect()
+    finally:
+        spark.conf.unset(setting)
+    lines = lambda x: {y for r in x for y in (r.text or "").split("\n")}
+    assert lines(got) - {""} == lines(df.collect()) - {""} and len(got) == len(rows)
+    kept = [x for r in got for x in (r.text or "").split("\n") if len(x.split()) >= 50]
+    assert len(kept) == len(set(kept))
+
+
 # 9
 
 
@@ -504,24 +589,51 @@ def test_near_duplicates_keep_a_family(spark, tmp_path):
     assert simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).count() == 60
 
 
-def test_near_duplicates_compare_whole_meetings(spark, tmp_path):
+@pytest.mark.parametrize("block", [8, 512])
+def test_near_duplicates_compare_whole_crowds(spark, tmp_path, block):
     rng = random.Random(6)
     word = lambda: "%x" % rng.getrandbits(40)
     shared, texts = [word() for _ in range(345)], []
     for _ in range(60):  # pairs of near copies in a family that is none
         own = [word() for _ in range(55)]
         texts += [" ".join(shared + own), " ".join(shared + own[:20] + [word() for _ in range(35)])]
-    prints = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5)), 8) for t in texts]
-    bands = [[int.from_bytes(p[k : k + 4]) for k in range(0, 48, 4)] for p in prints]
-    met = [(i, j) for i in range(120) for j in range(i) if any((a ^ b).bit_count() <= 2 for a, b in zip(bands[i], bands[j], strict=True))]
-    linked = [(i, j) for i, j in met if jaccard(texts[i], texts[j]) >= 0.8]
-    assert len(met) > 4000 and 40 < len(linked) <= 60
+    linked = [(i, j) for i in range(120) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(linked) == 60
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
-    kept = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), banded=6)
+    kept = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d")), block=block)
     root = union(range(120), linked)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_near_duplicates_recall(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "%x" % rng.getrandbits(40)
+    texts = []
+    while len(texts) < 400:
+        own = [word() for _ in range(rng.randint(60, 500))]
+        other = own[:]
+        for _ in range(max(1, int(len(own) * rng.uniform(0.015, 0.03)))):
+            other[rng.randrange(len(own))] = word()
+        pair = [" ".join(own), " ".join(other)]
+        if 0.8 <= jaccard(*pair) < 0.85:
+            texts += pair
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = {r.doc_id for r in simhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert set(range(0, 400, 2)) <= kept and len(kept) - 200 <= 0.1 * 200
+
+
+def test_jaccard_of_blocks():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 60))) for _ in range(40)] + [np.arange(100_000), np.arange(3, 100_000)]
+    shared = simhash.shared_counts(sets[:20], sets)
+    assert shared.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:20]]
+    left = np.array([True] * 20 + [False] * 22)
+    u, v = simhash.verified(np.arange(42), sets, left, 0.5)
+    js = lambda a, b: len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
+    want = union(range(42), [(i, j) for i in range(42) for j in range(i) if left[j] and js(sets[i], sets[j])])
+    assert {int(a): int(b) for a, b in zip(u, v, strict=True)} == {n: r for n, r in want.items() if n != r}
+
+
 def test_near_duplicates_by_any_band(spark, tmp_path):
     rng = random.Random(7)
     word = lambda: "%x" % rng.getrandbits(40)
