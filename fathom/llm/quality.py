@@ -2,18 +2,23 @@
 
 Every text becomes a vector of transformed text statistics. For each (language, source) the minimum
 covariance determinant (MCD) estimate of centre and scatter is found by concentration steps from
-several deterministic starts, and a text is rejected when its squared Mahalanobis distance from the
-robust centre is beyond a cut-off.
+several deterministic starts until the determinants settle, and a text is rejected when its squared Mahalanobis
+distance from the robust centre is beyond a cut-off.
+
+A group's estimate is shrunk towards that of all rows with the weight of ``weight`` rows, so that a small group
+is judged much as all are, a large one by itself, and none changes its judge at a certain size.
 
 How it scales. The statistics are one pass over the texts and a few numbers a row. A concentration
-step is two aggregations by (group, start, salt) over that table: sums are combined map-side, groups
-that hold a third of all rows are dealt over salts, and no group is ever brought into one task. The
-models have one row per group and start.
+step is two aggregations by (group, start) over that table. The h-subset is exact but for rows of nearly
+equal distance: rows are counted by group, start and distance in steps of a ten-thousandth of its magnitude, and
+the subset ends with the step that reaches the h-th row. Counts and sums are combined map-side, the join with the
+models deals out groups that hold a large share of the rows, and no group is ever brought into one task. The
+models have one row per group and start. All rows as one group are the sums over the groups.
 
 Defined cases. A null text counts as empty and has no words, so the base rule rejects it. Null
-languages or sources form groups of their own. Groups of fewer than ``min_group`` rows that pass the
-base rules are judged by the estimate over all of them. Repeated rows are judged one by one. An empty
-table gives an empty result. Columns other than doc_id, text, lang and source are not read.
+languages or sources form groups of their own. Rows at one distance are in the subset together. Repeated rows are
+judged one by one. An empty table gives an empty result. Columns other than doc_id, text, lang and source are
+not read.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed, written
+from .common import written
+from .graph import spread_join
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -132,22 +139,27 @@ def _solve(key: list[str], schema: str, h: float):
 
     def run(batches):
         for pdf in batches:
-            centres, inverses, dets = [], [], []
+            centres, scatters, inverses, dets = [], [], [], []
             for row in pdf[["n", *(f"s{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in _PAIRS)]].to_numpy(float):
-                n, s, q = row[0], row[1 : 1 + P], row[1 + P :]
-                mu = s / max(n, 1.0)
-                cov = np.zeros((P, P))
-                for (i, j), v in zip(_PAIRS, q, strict=True):
-                    cov[i, j] = cov[j, i] = v / max(n, 1.0) - mu[i] * mu[j]
-                cov = cov * consistency + np.diag(np.square(FLOORS))
+                mu, cov = estimate(row[0], row[1 : 1 + P], row[1 + P :], consistency)
                 centres.append(mu.tolist())
+                scatters.append(cov[np.triu_indices(P)].tolist())
                 inverses.append(np.linalg.inv(cov)[np.triu_indices(P)].tolist())
                 dets.append(float(np.linalg.slogdet(cov)[1]))
             out = pdf[key].copy()
-            out["n"], out["mu"], out["inv"], out["logdet"] = pdf["n"].astype(float), centres, inverses, dets
+            out["n"], out["mu"], out["cov"], out["inv"], out["logdet"] = pdf["n"].astype(float), centres, scatters, inverses, dets
             yield out
 
-    return run, f"{schema}, n double, mu array<double>, inv array<double>, logdet double"
+    return run, f"{schema}, n double, mu array<double>, cov array<double>, inv array<double>, logdet double"
+
+
+def estimate(n: float, s: np.ndarray, q: np.ndarray, consistency: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of moments."""
+    mu = s / max(n, 1.0)
+    cov = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, q, strict=True):
+        cov[i, j] = cov[j, i] = v / max(n, 1.0) - mu[i] * mu[j]
+    return mu, cov * consistency + np.diag(np.square(FLOORS))
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -178,56 +190,146 @@ def _distance() -> Column:
     return total
 
 
+_SUMS = [f"s{i}" for i in range(P)] + [f"q{i}_{j}" for i, j in _PAIRS]
+
+
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     x = F.col("x")
     sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i, j in _PAIRS)]
     return rows.groupBy(*by).agg(*sums)
 
 
-def mcd(rows: DataFrame, h: float = 0.75, steps: int = 3, salts: int = 16) -> DataFrame:
-    """MCD models of rows (g string, x array<double>, salt int): one row (g, n, mu, inv, logdet) per group.
+ALL = ""
+
+
+def _with_all(by_group: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums by group, and as group ALL their sums."""
+    rest = [k for k in keys if k != "g"]
+    total = by_group.groupBy(*rest).agg(*(F.sum(c).alias(c) for c in sums)).withColumn("g", F.lit(ALL))
+    return by_group.select(*keys, *sums).unionByName(total.where(F.col(sums[0]) > 0).select(*keys, *sums))
+
+
+#: Steps a distance is counted in, for each doubling.
+FINE = 8192
+
+
+def step_of(d2: Column) -> Column:
+    return F.floor(F.log2(d2 + F.lit(1e-9)) * F.lit(float(FINE))).cast("long")
+
+
+def _near(rows: DataFrame, models: DataFrame, total: int) -> DataFrame:
+    """(g, start, x, step) of rows (g, tie, x) under the models of their group (own: true) and of all."""
+    own = models.where(F.col("g") != ALL).groupBy("g").agg(F.collect_list(F.struct("start", "mu", "inv")).alias("models"), F.max("size").alias("n"))
+    joined = spread_join(rows, own, "g", F.xxhash64("tie"), total=total)
+    numbers = lambda v: F.array(*(F.lit(float(a)) for a in v))
+    pooled = models.where(F.col("g") == ALL).collect()  # one row for each start
+    as_all = F.array(*(F.struct(F.lit(ALL).alias("g"), F.lit(m.start).alias("start"), numbers(m.mu).alias("mu"), numbers(m.inv).alias("inv")) for m in pooled))
+    as_own = F.transform("models", lambda m: F.struct(F.col("g").alias("g"), m["start"].alias("start"), m["mu"].alias("mu"), m["inv"].alias("inv")))
+    each = joined.select("x", F.explode(F.concat(as_own, as_all)).alias("m")).select("m.*", "x")
+    return each.select("g", "start", "x", step_of(_distance()).alias("step"))
 
-    Starts, each deterministic: coordinatewise median and quartile distance, and the moments of all
-    rows. The first concentration step keeps the closest half, the others the closest h. The model of
-    the smallest determinant stays for each group. Group '' holds all rows.
+
+def _cuts(near: DataFrame, part: float) -> DataFrame:
+    """(g, start, cut): the step with which a part of a group's rows is reached."""
+    counts = near.groupBy("g", "start", "step").agg(F.count(F.lit(1)).alias("rows"))
+    by = Window.partitionBy("g", "start")
+    upto = counts.select("g", "start", "step", F.sum("rows").over(by.orderBy("step")).alias("upto"), F.sum("rows").over(by).alias("of"))
+    return upto.where(F.col("upto") >= F.ceil(F.col("of") * F.lit(part))).groupBy("g", "start").agg(F.min("step").alias("cut"))
+
+
+def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float = 1e-4) -> DataFrame:
+    """MCD models of rows (g string, tie long, x array<double>): one row (g, size, mu, cov, inv) per group. Group '' holds all rows.
+
+    Starts, each deterministic: coordinatewise median and quartile distance; the moments of all rows; and the
+    scatter of the directions from the median. The first concentration step keeps the closest half, the others the
+    closest h, until no log determinant changes by more than ``settled``. The model of the smallest determinant
+    stays for each group.
     """
-    all_rows = rows.unionByName(rows.withColumn("g", F.lit("")))
     x = F.col("x")
-    quart = all_rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.percentile_approx(x[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(P)))
-    mids = quart.select("g", "n", F.array(*(F.col(f"p{i}")[1] for i in range(P))).alias("mu"), F.array(*(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + F.lit(FLOORS[i] ** 2) for i in range(P))).alias("var"))
+    thirds = lambda r: r.agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(x[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(P)))
+    quart = written(thirds(rows.groupBy("g")).unionByName(thirds(rows).where("size > 0").withColumn("g", F.lit(ALL))), "quartiles")
+    mids = quart.select("g", "size", F.array(*(F.col(f"p{i}")[1] for i in range(P))).alias("mu"), F.array(*(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + F.lit(FLOORS[i] ** 2) for i in range(P))).alias("var"))
+    total = quart.where(F.col("g") == ALL).agg(F.sum("size")).first()[0] or 0
+    sizes = mids.select("g", "size")
     diagonal = F.array(*(F.lit(1.0) / F.col("var")[i] if i == j else F.lit(0.0) for i, j in _PAIRS))
-    medians = mids.select("g", F.lit(0).alias("start"), "n", "mu", diagonal.alias("inv"), F.lit(0.0).alias("logdet"))
+    medians = mids.select("g", F.lit(0).alias("start"), "mu", diagonal.alias("inv"))
     run, schema = _solve(["g", "start"], "g string, start int", 1.0)
-    everything = _moments(all_rows, ["g"]).withColumn("start", F.lit(1)).mapInPandas(run, schema).select(*medians.columns)
-    models = checkpointed(medians.unionByName(everything))
+    everything = _with_all(_moments(rows, ["g"]), ["g"], ["n", *_SUMS]).withColumn("start", F.lit(1))
+    # Directions in units of the quartile distance, at unit length, brought back to the median and to scale.
+    unit = F.array(*((x[i] - F.col("mu")[i]) / F.sqrt(F.col("var")[i]) for i in range(P)))
+    size = F.sqrt(F.aggregate("u", F.lit(1e-12), lambda a, v: a + v * v) / F.lit(float(P)))
+    back = F.array(*(F.col("mu")[i] + F.col("u")[i] / size * F.sqrt(F.col("var")[i]) for i in range(P)))
+    turned = spread_join(rows, mids.where(F.col("g") != ALL).withColumn("n", F.col("size")), "g", F.xxhash64("tie"), total=total).withColumn("u", unit).select("g", back.alias("x"))
+    directions = _with_all(_moments(turned, ["g"]), ["g"], ["n", *_SUMS]).withColumn("start", F.lit(2))
+    solved = everything.unionByName(directions).mapInPandas(run, schema).select("g", "start", "mu", "inv")
+    models = written(medians.unionByName(solved).join(sizes, "g"), "models")
     run, schema = _solve(["g", "start"], "g string, start int", h)
-    for step in range(steps):
-        part = 0.5 if step == 0 else h
-        salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        near = all_rows.join(salted, ["g", "salt"]).select("g", "start", "salt", "x", _distance().alias("d2"))
-        cut = near.groupBy("g", "start").agg(F.percentile_approx("d2", part, 2000).alias("cut")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        kept = near.join(cut, ["g", "start", "salt"]).where("d2 <= cut")
-        models = checkpointed(_moments(kept, ["g", "start"]).mapInPandas(run, schema))
-    best = models.groupBy("g").agg(F.min_by(F.struct("n", "mu", "inv", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
-    return best
-
-
-def robust_outliers(stats: DataFrame, h: float = 0.75, steps: int = 3, cutoff: float = 0.9999, salts: int = 16, min_group: int = 200) -> DataFrame:
+    before = None
+    for step in range(most_steps if total else 0):
+        near = _near(rows, models, total)
+        cut = written(_cuts(near, 0.5 if step == 0 else h), "cuts")
+        kept = near.join(F.broadcast(cut) if cut.count() <= SMALL_MODELS else cut, ["g", "start"]).where("step <= cut")
+        models = written(_moments(kept, ["g", "start"]).mapInPandas(run, schema).join(sizes, "g"), "models")
+        if step:
+            now = models.select("g", "start", "logdet")
+            if before is not None:
+                moved = now.join(before, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+                if moved is None or moved <= settled:
+                    break
+            before = now.withColumnRenamed("logdet", "was")
+    if not total:
+        return models.select("g", "size", "mu", F.col("inv").alias("cov"), "inv")
+    return models.groupBy("g").agg(F.min_by(F.struct("size", "mu", "cov", "inv"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+
+
+#: Rows of a table of models, of a few hundred bytes each, up to which it is broadcast.
+SMALL_MODELS = 20_000
+
+
+def _shrunk(models: DataFrame, pooled, weight: float) -> DataFrame:
+    """(g, mu, inv, n): each group's estimate with that of all rows as so many rows more."""
+    centre, scatter = np.array(pooled.mu), np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, pooled["cov"], strict=True):
+        scatter[i, j] = scatter[j, i] = v
+
+    def run(batches):
+        for pdf in batches:
+            mus, inverses = [], []
+            for size, mu, cov in zip(pdf["size"], pdf["mu"], pdf["cov"], strict=True):
+                own = np.zeros((P, P))
+                for (i, j), v in zip(_PAIRS, cov, strict=True):
+                    own[i, j] = own[j, i] = v
+                mu, both = shrink(float(size), np.array(mu), own, centre, scatter, weight)
+                mus.append(mu.tolist())
+                inverses.append(np.linalg.inv(both)[np.triu_indices(P)].tolist())
+            out = pdf[["g"]].copy()
+            out["mu"], out["inv"], out["n"] = mus, inverses, pdf["size"].astype("int64")
+            yield out
+
+    return models.mapInPandas(run, "g string, mu array<double>, inv array<double>, n long")
+
+
+def shrink(size: float, mu: np.ndarray, cov: np.ndarray, centre: np.ndarray, scatter: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    part = size / (size + weight)
+    away = mu - centre
+    # What the centres differ by counts as scatter while neither is sure.
+    return part * mu + (1 - part) * centre, part * cov + (1 - part) * scatter + part * (1 - part) * np.outer(away, away)
+
+
+def robust_outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 0.9999, weight: float = 60.0, most_steps: int = 12) -> DataFrame:
     """stats with base_failed, distance2 (null where the base rules fail) and kept: a chi-square quantile is the cut-off."""
     group = F.to_json(F.struct(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"), F.col("lang").isNull().alias("ln"), F.col("source").isNull().alias("sn")))
-    marked = stats.withColumn("base_failed", base_failed()).withColumn("g", group).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("x", F.array(*vector()))
-    rows = marked.where(~F.col("base_failed")).select("g", "salt", "x")
-    models = checkpointed(mcd(rows, h, steps, salts))
-    pooled = models.where("g = ''").select("mu", "inv").first()  # one row
-    constant = lambda k: F.array(*(F.lit(v) for v in pooled[k])) if pooled else F.lit(None).cast("array<double>")
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    own = sizes.join(models.where("g != ''").select("g", "mu", "inv"), "g", "left")
-    enough = (F.col("rows") >= min_group) & F.col("mu").isNotNull()
-    own = own.select("g", *(F.when(enough, F.col(k)).otherwise(constant(k)).alias(k) for k in ("mu", "inv")))
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marked = stats.withColumn("base_failed", base_failed()).withColumn("g", group).withColumn("tie", F.monotonically_increasing_id()).withColumn("x", F.array(*vector()))
+    marked = written(marked, "marked")
+    rows = marked.where(~F.col("base_failed")).select("g", "tie", "x")
+    models = written(mcd(rows, h, most_steps), "mcd")
+    pooled = models.where(F.col("g") == ALL).first()  # one row
     limit = chi2_quantile(cutoff, P)
-    judged = marked.join(own, ["g", "salt"], "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).drop("g", "salt", "x", "mu", "inv")
+    if pooled is None:  # no row passes the base rules
+        return marked.withColumn("distance2", F.lit(None).cast("double")).withColumn("kept", F.lit(False)).drop("g", "tie", "x")
+    own = written(_shrunk(models.where(F.col("g") != ALL), pooled, weight), "shrunk")
+    judged = spread_join(marked, own, "g", F.xxhash64("tie"), "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).drop("g", "tie", "x", "mu", "inv")
 
 
 def quality_rules(docs: DataFrame, **how) -> DataFrame:
