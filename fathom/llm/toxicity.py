@@ -289,11 +289,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """docs without those of a score of ``threshold`` or more."""
     parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = b.filter(pa.array(_score(_features_of(b), weights) < threshold))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names=names)
 
     return _featured(docs, parts, docs.columns).mapInArrow(run, docs.schema)
 

@@ -115,9 +115,69 @@ def test_toxicity_without_labels(spark, empty):
     assert toxicity.toxicity_scores(empty, lab).count() == 0
 
 
-def test_unseen_spelling_is_neutral():
-    s = toxicity.Speller(np.zeros(16, [("check", "<i4"), ("delta", "<f4"), ("escape", "<f4"), ("used", "?")]))
-    assert s.of([b"abc", b"d", b"abc"]).tolist() == [0, 0, 0] and toxicity.features(np.zeros(0)) == [0.0] * 3
+def test_toxicity_in_parts_is_the_same(spark):
+    rows, labels = toxic_corpus(300)
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, many = ({r.doc_id: r.score for r in toxicity.toxicity_scores(df, lab, part_nodes=n).collect()} for n in (1 << 20, 100))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-9 for i in one)
+
+
+def plain_kneser_ney(texts, words):
+    """Differences of log-likelihood of words, by counting as the definitions say."""
+    off = lambda c: min(c, 1.0 if c <= 1 else 1.3 if c == 2 else 1.6)
+    vocabulary = collections.defaultdict(lambda: [0, 0])
+    for text, toxic in texts:
+        for w in set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))):
+            vocabulary[w][toxic] += 1
+
+    def steps(w):
+        yield from ((w[: n - 1], w[n - 1]) for n in range(1, min(10, len(w)) + 1))
+        yield w[:10], w[10:] + "\n"
+
+    count, types = collections.defaultdict(lambda: [0, 0]), collections.Counter()
+    for w, c in vocabulary.items():
+        for s in steps(w):
+            types[s] += 1
+            for k in (0, 1):
+                count[s][k] += c[k]
+
+    def p(k, h, x):
+        after = [s for s in types if s[0] == h]
+        total = sum(count[s][k] for s in after)
+        same = [s for s in types if s[0][-3:] == h[-3:]]
+        lower = sum(s[1] == x for s in same) / max(1, len(same))
+        both = sum(types[s] for s in after)
+        shared = (max(types[h, x] - toxicity.TYPE_DISCOUNT, 0) + toxicity.TYPE_DISCOUNT * len(after) * lower) / both if both else 1.0
+        if not shared:
+            return None, sum(off(count[s][k]) for s in after) / total if total else 1.0
+        if not total:
+            return shared, None
+        return (count[h, x][k] - off(count[h, x][k]) + sum(off(count[s][k]) for s in after) * shared) / total, None
+
+    out = []
+    for w in words:
+        d = 0.0
+        for h, x in steps(w):
+            a, b = p(1, h, x), p(0, h, x)
+            if not types[h, x]:  # never seen: the classes share what follows
+                free = [sum(off(count[s][k]) for s in types if s[0] == h) / t if (t := sum(count[s][k] for s in types if s[0] == h)) else 1.0 for k in (1, 0)]
+                if any(s[0] == h for s in types):
+                    d += np.log(free[0] / free[1])
+                break
+            d += np.log(a[0] / b[0])
+        out.append(d)
+    return out
+
+
+def test_kneser_ney_as_defined(spark):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(WORDS) + rng.choice(["", "x", "foo", "grumblesome", "é"]) for _ in range(rng.randint(1, 12))), int(rng.random() < 0.4)) for _ in range(60)]
+    model = toxicity.spelling_model(spark.createDataFrame(texts, "text string, toxic int"))
+    (part,) = toxicity.model_parts(model)
+    words = sorted({w for t, _ in texts for w in t.split()})[::7] + ["the", "theingq", "zzz", "q", "ofgrumblesomeother", "inged"]
+    got = toxicity.Speller(part).of([w.encode() for w in words])
+    assert np.allclose(got, plain_kneser_ney(texts, words), atol=1e-5)
+    assert toxicity.Speller(toxicity.Part(0, 1, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))).of([b"abc", b"d"]).tolist() == [0, 0] and toxicity.features(np.zeros(0)) == [0.0] * 3
 
 
 # 3
@@ -685,6 +745,56 @@ def test_quality(spark, docs, empty, tmp_path):
     assert quality.quality_rules(empty).count() == 0
 
 
+def plain_mcd(x, h=0.75, most_steps=12, settled=1e-4):
+    """The estimates of all starts, by loops over rows; the one of smallest determinant."""
+    n, p, floors = len(x), quality.P, np.square(quality.FLOORS)
+    at = lambda q: np.sort(x, 0)[max(0, int(np.ceil(q * n)) - 1)]
+    mu = at(0.5)
+    var = ((at(0.75) - at(0.25)) / 1.349) ** 2 + floors
+    u = (x - mu) / np.sqrt(var)
+    back = mu + u / np.sqrt((u**2).sum(1, keepdims=True) / p + 1e-300) * np.sqrt(var)
+    scatter = lambda y, c: np.cov(y.T, bias=True) * c + np.diag(floors)
+    starts = [(mu, np.diag(var)), (x.mean(0), scatter(x, 1.0)), (back.mean(0), scatter(back, 1.0))]
+    logs = []
+    for step in range(most_steps):
+        new = []
+        for m, s in starts:
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            size = int(np.ceil(n * (0.5 if step == 0 else h)))
+            fine = np.floor(np.log2(d2 + 1e-9) * quality.FINE)
+            kept = x[fine <= np.sort(fine)[size - 1]]
+            new.append((kept.mean(0), scatter(kept, quality._consistency(h))))
+        starts, before, logs = new, logs, [np.linalg.slogdet(s)[1] for _, s in new]
+        if step > 1 and max(abs(a - b) for a, b in zip(logs, before, strict=True)) <= settled:
+            break
+    return starts[int(np.argmin(logs))]
+
+
+def test_mcd(spark):
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(0, 1, (300, 6)) @ rng.normal(0, 1, (6, 6)), "b": rng.normal(2, 0.5, (40, 6)), "c": rng.normal(0, 1, (3, 6))}
+    data["a"][:50] += 20
+    rows = [(g, k, [float(v) for v in r]) for g, x in data.items() for k, r in enumerate(x)]
+    got = {r.g: r for r in quality.mcd(spark.createDataFrame(rows, "g string, tie long, x array<double>")).collect()}
+    data[""] = np.concatenate(list(data.values()))
+    assert set(got) == set(data) and all(got[g].size == len(x) for g, x in data.items())
+    for g, x in data.items():
+        mu, cov = plain_mcd(x)
+        assert np.allclose(got[g].mu, mu, atol=1e-3) and np.allclose(got[g]["cov"], cov[np.triu_indices(6)], atol=1e-2, rtol=1e-2), g
+    assert abs(np.array(got["a"].mu)).max() < 2  # a sixth of the rows far away move nothing
+
+
+def test_a_group_is_judged_alike_before_and_after_it_grows():
+    own, pooled = (np.zeros(6), np.eye(6)), (np.full(6, 0.5), 4 * np.eye(6))
+    last = None
+    for n in range(1, 400):
+        mu, cov = quality.shrink(n, *own, *pooled, 60.0)
+        now = np.concatenate([mu, cov.ravel()])
+        assert last is None or np.abs(now - last).max() < 0.1
+        last = now
+    assert np.abs(last[:6]).max() < 0.1
+
+
 def test_outliers(spark):
     rng = random.Random(11)
     rows = [(i, prose(rng, rng.randint(60, 200)), "en", f"s{i % 2}") for i in range(600)]
