@@ -220,14 +220,16 @@ def _featured(docs: DataFrame, parts: list, keep: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], part=part, names=names, number=number, last=last) -> Iterator[pa.RecordBatch]:
             speller = Speller(part.value)
             for b in batches:
-                found = [speller.of(words_of(t.as_py())) for t in b.column("text")]
-                if number:
-                    found = [d + np.frombuffer(x.as_py(), float) for d, x in zip(found, b.column("__so_far"), strict=True)]
-                if last:
-                    x = np.array([features(d) for d in found]).reshape(-1, FEATURES)
-                    new = {f"__x{i}": pa.array(x[:, i]) for i in range(FEATURES)}
-                else:
-                    new = {"__so_far": pa.array([d.tobytes() for d in found], pa.binary())}
+                x, so_far = np.zeros((b.num_rows if last else 0, FEATURES)), []
+                for k, text in enumerate(b.column("text")):
+                    found = speller.of(words_of(text.as_py()))
+                    if number:
+                        found = found + np.frombuffer(b.column("__so_far")[k].as_py(), float)
+                    if last:
+                        x[k] = features(found)
+                    else:
+                        so_far.append(found.tobytes())
+                new = {f"__x{i}": pa.array(x[:, i]) for i in range(FEATURES)} if last else {"__so_far": pa.array(so_far, pa.binary())}
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names=names)
 
         docs = docs.mapInArrow(run, StructType([StructField(n, kinds.get(n, BinaryType() if n == "__so_far" else DoubleType())) for n in names]))
@@ -270,33 +272,25 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_fit: int, small_labels: int
     return parts, np.array([0.0] * FEATURES + [np.log(share / (1 - share))])
 
 
-def _score(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -700, 700)))
+def _score(weights: np.ndarray) -> Column:
+    """The logistic curve over __x0, __x1, ..."""
+    total = F.lit(float(weights[-1]))
+    for i, w in enumerate(weights[:-1]):
+        total = total + F.lit(float(w)) * F.col(f"__x{i}")
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(total, F.lit(700.0)), F.lit(-700.0))))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_score(_features_of(b), weights))], names=["doc_id", "score"])
-
-    scored = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, ["doc_id"]).mapInArrow(run, "doc_id long, score double")
+    scored = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, ["doc_id"]).select("doc_id", _score(weights).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """docs without those of a score of ``threshold`` or more."""
     parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = b.filter(pa.array(_score(_features_of(b), weights) < threshold))
-            yield pa.RecordBatch.from_arrays([kept.column(c) for c in names], names=names)
-
-    return _featured(docs, parts, docs.columns).mapInArrow(run, docs.schema)
+    return _featured(docs, parts, docs.columns).where(_score(weights) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_toxicity(spark, sf_dir):
