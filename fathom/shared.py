@@ -53,14 +53,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many paths have been made and not deleted."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, begin: int, end: int | None = None) -> None:
+    """Delete the paths that were made from the number ``begin`` on."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _made[begin:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
+    del _made[begin:end]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the paths that were made within."""
-    begin = len(_made)
+    begin = made()
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        while len(_made) > begin:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-            path.getFileSystem(hadoop).delete(path, True)
+        discard(spark, begin)
