@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 
 
 def spread_join(rows: DataFrame, one_each: DataFrame, key: str, salt: Column, how: str = "inner", total: int | None = None) -> DataFrame:
@@ -40,9 +40,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes: each keeps the components, and the
     links of a node move to its smallest neighbour. Every step is a minimum by key, combined map-side,
-    and a join that deals out nodes of many links; every round is cut off with a checkpoint.
+    and a join that deals out nodes of many links; every round is cut off with a written table, whose
+    shuffle files go at once.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     state = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = now.agg(*state).first()
     for _ in range(most_rounds):
@@ -51,11 +52,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         ways = _both_ways(now)
         smallest = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _stars(ways.where("v > u"), smallest, 2 * before[0]).where("u != v").distinct()
-        large = checkpointed(large)
+        large = written(large, "large-star")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         smallest = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _stars(down, smallest, before[0]).union(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = checkpointed(small)
+        now = written(small, "small-star")
         after = now.agg(*state).first()
         if after == before:
             break

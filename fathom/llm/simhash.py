@@ -10,15 +10,18 @@ one bit, so that a meeting holds 65 fingerprints at most; all of them are within
 other, so that links to the smallest of them lose no component.
 
 ``near_duplicates`` looks for a similarity (Jaccard's, of sets of five-word shingles by default), which
-for SimHash means an angle: it takes wider fingerprints, ball-hashes each 32-bit band, sorts out by the
-distance over all bits what can't be that similar, and verifies the rest by their shingle sets.
+for SimHash means an angle: it takes wider fingerprints and ball-hashes each 32-bit band. Nodes (distinct sets of
+shingles) that meet and are near enough by all bits make up crowds; within a crowd all pairs are verified by their
+shingle sets, exactly.
 
 How it scales. Fingerprints are one pass over the texts; equal ones are counted once, so copies cost
-nothing more. The variants of the distinct fingerprints are shuffled, a fixed number for each.
-``near_duplicates`` compares a meeting's nodes with its smallest first, and then, exactly, all pairs of a
-meeting that this has not joined: a group of near copies costs little more than its members, while a
-meeting of many documents that are no near copies of each other costs the square of them.
-Components are found by rounds of minima by key and salted joins.
+nothing more. The variants of the distinct fingerprints are shuffled, a fixed number for each. A meeting's nodes
+are compared with its smallest, and pair by pair only where that leaves several crowds in a meeting. A crowd's sets are
+dealt over blocks of bounded size. A block's pairs are counted at once by products of matrices, with each other and with the crowd's
+pivot, and only links that join are emitted: this is linear in the crowd. Nodes that are then not in the
+crowd's largest group are compared with all of the crowd, block by block. So a large group of near copies costs little more than its
+members, and a large crowd that holds no near copies costs the square of its blocks, never rows for its pairs.
+Components are found by rounds of minima by key and joins that deal hot keys out.
 
 Defined cases. Null and empty texts have fingerprint zero and are linked like any other. Texts with
 fewer words than a shingle have one shingle, all of their words. Repeated rows are all returned, or in
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, written
+from .common import written
 from .graph import components, spread_join
 
 
@@ -218,22 +221,26 @@ def _verify(rows: DataFrame, by: list[str], similarity: float) -> DataFrame:
 def _crowds(met: DataFrame, distinct: DataFrame, fs: list[str], limit: int) -> DataFrame:
     """(node, root): nodes that meet and whose fingerprints are near enough, joined. Nodes apart from all others are left out."""
 
-    def near(pairs: DataFrame, name: str) -> DataFrame:
+    def marked(pairs: DataFrame, name: str) -> DataFrame:
         for s in "uv":
             pairs = pairs.join(distinct.select(F.col("node").alias(s), *(F.col(f).alias(f"{s}{f}") for f in fs)), s)
         apart = sum((F.bit_count(F.col(f"u{f}").bitwiseXOR(F.col(f"v{f}"))) for f in fs), F.lit(0))
-        return written(pairs.where(apart <= limit).select("u", "v"), name)
+        return written(pairs.select("u", "v", (apart <= limit).alias("near")), name)
 
     # Each meeting's nodes with its smallest: that joins nearly all.
-    found = near(met.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "near")
+    stars = marked(met.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "stars")
+    found = stars.where("near").select("u", "v")
     roots = written(components(found), "crowds")
-    # Then all pairs of a meeting that this leaves in different crowds.
+    # Then, in the meetings where a node is not near the smallest, all pairs that this leaves in different crowds.
     by = Window.partitionBy("variant")
-    rooted = met.where("n > 2").join(roots, "node", "left").select("variant", "node", "least", F.coalesce("root", "node").alias("root"))
+    more_than_two = met.where("n > 2")
+    far = stars.where("not near").select(F.col("u").alias("node"), F.col("v").alias("least"))
+    mixed = written(more_than_two.join(far, ["node", "least"], "left_semi").select("variant").distinct(), "mixed")
+    rooted = more_than_two.join(mixed, "variant", "left_semi").join(roots, "node", "left").select("variant", "node", "least", F.coalesce("root", "node").alias("root"))
     apart = rooted.select("*", F.min("root").over(by).alias("lowest"), F.max("root").over(by).alias("highest")).where("lowest != highest and node != least")
     apart = written(apart.select("variant", "node", "root"), "apart")
     u, v = (apart.select("variant", F.col("node").alias(s), F.col("root").alias(f"{s}root")) for s in "uv")
-    more = near(u.join(v.hint("merge"), "variant").where("uroot < vroot").select("u", "v").distinct(), "more")
+    more = marked(u.join(v.hint("merge"), "variant").where("uroot < vroot").select("u", "v").distinct(), "more").where("near").select("u", "v")
     return written(components(found.union(more)), "crowds") if more.head(1) else roots
 
 
