@@ -245,12 +245,12 @@ def components_by_blocks(mask: DataFrame, block: int = 512) -> DataFrame:
         np.minimum.at(least, own, (y << 32) | x)
         return pd.DataFrame({"y": y.astype("int32"), "x": x.astype("int32"), "label": least[own]})
 
-    labels = blocked.groupBy("by", "bx").applyInPandas(run, "y int, x int, label long").persist()
+    labels = checkpointed(blocked.groupBy("by", "bx").applyInPandas(run, "y int, x int, label long"))
     edge = labels.where(((F.col("y") % block) == 0) | ((F.col("x") % block) == 0))
     up = edge.where(F.col("y") % block == 0).select((F.col("y") - 1).alias("y"), "x", F.col("label").alias("u"))
     left = edge.where(F.col("x") % block == 0).select("y", (F.col("x") - 1).alias("x"), F.col("label").alias("u"))
     links = up.unionByName(left).join(labels, ["y", "x"]).select("u", F.col("label").alias("v")).distinct()
-    links = links.union(links.select("v", "u")).persist()
+    links = checkpointed(links.union(links.select("v", "u")))
     state = links.select(F.col("u").alias("label")).distinct().withColumn("root", F.col("label"))
     while True:
         seen = links.join(state.select(F.col("label").alias("v"), "root"), "v").groupBy(F.col("u").alias("label")).agg(F.min("root").alias("near"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom import model as M
+from fathom.shared import checkpointed
 
 
 def edges_of(polygons: DataFrame, geom: str = "geom_id", rings: str = "rings") -> DataFrame:
@@ -82,7 +83,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, order: t
         dx, dy = F.col("__px") - F.col("x"), F.col("__py") - F.col("y")
         near = asked.join(held, ["__cx", "__cy"]).select("q", (dx * dx + dy * dy).alias("d2"), *carried).where(F.col("d2") <= size * size)
         ranked = near.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= want)
-        full = ranked.groupBy("q").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == want).select("q").persist()
+        full = checkpointed(ranked.groupBy("q").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == want).select("q"))
         found = ranked.join(full, "q", "left_semi")
         done = found if done is None else done.unionByName(found)
         open_queries = open_queries.join(full, "q", "left_anti")

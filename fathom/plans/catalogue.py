@@ -108,9 +108,9 @@ def reject_audit(spark, d):
     return s.select(E.reject_reason(F.col("lon"), F.col("lat"), F.col("depth")).alias("reason"), "code").groupBy("reason", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("name_match", "SELECT doc_id, regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z0-9]', '', 'g') AS name FROM documents WHERE contains(regexp_replace(lower(strip_accents(substr(text, 1, 40))), '[^a-z0-9]', '', 'g'), 'ion') OR source IN ('src3', 'src49') OR ends_with(source, '9')")
+@query("name_match", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS name FROM documents WHERE contains(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g'), 'ion') OR source IN ('src3', 'src49') OR ends_with(source, '9')")
 def name_match(spark, d):
-    name = E.normal_name(F.substring("text", 1, 40))
+    name = E.normal_name(F.col("text"))
     return C.table(spark, d, "documents").select("doc_id", name.alias("name"), "source").where(F.col("name").contains("ion") | F.col("source").isin("src3", "src49") | F.col("source").endswith("9")).select("doc_id", "name")
 
 
@@ -312,15 +312,17 @@ def cart_class(spark, d):
 _EDGE = "SELECT DISTINCT a.y, a.x FROM {0} a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx), {0} b WHERE b.y = a.y + dy AND b.x = a.x + dx AND a.k >= 5 AND b.k < 5"
 
 
-@query("boundary_distance", sql(f"p AS ({_EDGE.format('raster')}), q AS ({_EDGE.format('raster_b')}), n AS (SELECT p.y, p.x, sqrt(min((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) AS v FROM p, q GROUP BY 1, 2) SELECT count(*) AS n, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most FROM n", "raster", "raster_b"))
+@query("boundary_distance", sql(f"p AS ({_EDGE.format('raster')}), q AS ({_EDGE.format('raster_b')}), d AS (SELECT p.y, p.x, q.y AS qy, q.x AS qx, (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x) AS d2 FROM p, q), n AS (SELECT sqrt(min(d2)) AS v FROM d GROUP BY y, x UNION ALL SELECT sqrt(min(d2)) AS v FROM d GROUP BY qy, qx) SELECT count(*) AS n, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(max(v), 6) AS most FROM n", "raster", "raster_b"))
 def boundary_distance(spark, d):
+    """Distances from each boundary to the other, both ways."""
+
     def edge(cells: DataFrame) -> DataFrame:
         m = cells.select("y", "x", F.when(F.col("k") >= 5, 1).otherwise(0).alias("k"))
-        return raster.boundary(m).where("k = 1").select("y", "x")
+        return raster.boundary(m).where("k = 1").select((F.col("y") * 1000 + F.col("x")).cast("long").alias("q"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
-    p = edge(C.raster(spark, d)).select((F.col("y") * 1000 + F.col("x")).cast("long").alias("q"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    q = edge(C.raster(spark, d, odd=True)).select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("y") * 1000 + F.col("x")).alias("at"))
-    near = spatial.nearest(p, q, 1, 4.0, ("at",)).select(F.sqrt("d2").alias("v"))
+    p, q = edge(C.raster(spark, d)), edge(C.raster(spark, d, odd=True))
+    one_way = lambda a, b: spatial.nearest(a, b.select("x", "y", F.col("q").alias("at")), 1, 4.0, ("at",)).select(F.sqrt("d2").alias("v"))
+    near = one_way(p, q).unionByName(one_way(q, p))
     return rounded(near.agg(F.count(F.lit(1)).alias("n"), *relational.percentiles(F.col("v"), (0.95, 0.99)), F.max("v").alias("most")))
 
 
@@ -644,9 +646,11 @@ def polygon_burn(spark, d):
     return mapping.burn(C.raster(spark, d), C.polygons(spark), 8.0).select("y", "x", "inside")
 
 
-@query("stable_interior", sql("b AS (SELECT DISTINCT a.y, a.x FROM raster a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx) ON true JOIN raster c ON c.y = a.y + dy AND c.x = a.x + dx WHERE a.k != c.k), g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM b, (SELECT * FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx))) SELECT y, x, k FROM raster r WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.y = r.y AND g.x = r.x)", "raster"))
+@query("stable_interior", sql("s AS (SELECT y, x, CAST((y // 16 + x // 16) % 8 AS INT) AS k FROM raster), b AS (SELECT DISTINCT a.y, a.x FROM s a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx) ON true JOIN s c ON c.y = a.y + dy AND c.x = a.x + dx WHERE a.k != c.k), g AS (SELECT DISTINCT y + dy AS y, x + dx AS x FROM b, (SELECT * FROM (VALUES (-1), (0), (1)) p(dy), (VALUES (-1), (0), (1)) q(dx))) SELECT y, x, k FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.y = s.y AND g.x = s.x)", "raster"))
 def stable_interior(spark, d):
-    return mapping.stable_interior(C.raster(spark, d), NY, NX).select("y", "x", "k")
+    """On the raster's cells with classes in squares of 16, as its own classes leave no interior."""
+    squares = C.raster(spark, d).withColumn("k", F.expr("cast((y div 16 + x div 16) % 8 as int)"))
+    return mapping.stable_interior(squares, NY, NX).select("y", "x", "k")
 
 
 _HEX = ", ".join("'#%02x%02x%02x'" % c for c in M.DISPLAY_PALETTE)

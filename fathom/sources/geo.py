@@ -41,8 +41,8 @@ def attribute(properties: str, *names: str):
 
 def permanent_water(found: DataFrame) -> DataFrame:
     """Features that are permanent and no marsh."""
-    kind, lasting = F.lower(attribute("properties", "nature")), F.lower(attribute("properties", "persistance", "persistence"))
-    return found.where((lasting == "permanent") & ~F.coalesce(kind, F.lit("")).contains("marais"))
+    kind, lasting = F.lower(attribute("properties", "nature", "NATURE")), F.lower(attribute("properties", "persistance", "persistence", "PERSISTANC"))
+    return found.where((lasting == "permanent") & (F.coalesce(kind, F.lit("")) != "marais"))
 
 
 def overpass(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:

@@ -106,11 +106,11 @@ def track_stream(fixes: DataFrame, least: float = 1.0, most: int = M.TRACK_LENGT
 
 
 def enrich(fixes: DataFrame, cells: DataFrame, levels: DataFrame, iy, ix) -> DataFrame:
-    """Stream or table of fixes with the class under them and the level's depth interval; fixes off the grid stay."""
+    """Stream or table of fixes with the class under them and the level's depth interval; fixes off the grid stay. Of ``levels`` one row counts."""
     from fathom.functions.exprs import band_info
 
     placed = fixes.withColumns({"y": iy, "x": ix, "__one": F.lit(1)})
-    met = placed.join(cells.select("y", "x", "k"), ["y", "x"], "left").join(F.broadcast(levels.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
+    met = placed.join(cells.select("y", "x", "k"), ["y", "x"], "left").join(F.broadcast(levels.limit(1).withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
     return met.select("*", *band_info(F.col("k"), F.col("level")))
 
 
