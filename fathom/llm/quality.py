@@ -237,13 +237,13 @@ def _cuts(near: DataFrame, part: float) -> DataFrame:
     return upto.where(F.col("upto") >= F.ceil(F.col("of") * F.lit(part))).groupBy("g", "start").agg(F.min("step").alias("cut"))
 
 
-def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float = 1e-4) -> DataFrame:
+def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float = 1e-3) -> DataFrame:
     """MCD models of rows (g string, tie long, x array<double>): one row (g, size, mu, cov, inv) per group. Group '' holds all rows.
 
     Starts, each deterministic: coordinatewise median and quartile distance; the moments of all rows; and the
     scatter of the directions from the median. The first concentration step keeps the closest half, the others the
-    closest h, until no log determinant changes by more than ``settled``. The model of the smallest determinant
-    stays for each group.
+    closest h. After three steps the model of the smallest determinant stays for each group, and goes on until no
+    log determinant changes by more than ``settled``.
     """
     x = F.col("x")
     thirds = lambda r: r.agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(x[i], [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(P)))
@@ -270,7 +270,10 @@ def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float =
         cut = written(_cuts(near, 0.5 if step == 0 else h), "cuts")
         kept = near.join(F.broadcast(cut) if cut.count() <= SMALL_MODELS else cut, ["g", "start"]).where("step <= cut")
         models = written(_moments(kept, ["g", "start"]).mapInPandas(run, schema).join(sizes, "g"), "models")
-        if step:
+        if step == 2:
+            best = F.min_by(F.struct(*models.columns), F.struct("logdet", "start"))
+            models = written(models.groupBy("g").agg(best.alias("m")).select("m.*"), "best")
+        if step >= 2:
             now = models.select("g", "start", "logdet")
             if before is not None:
                 moved = now.join(before, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]

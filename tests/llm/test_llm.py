@@ -745,7 +745,7 @@ def test_quality(spark, docs, empty, tmp_path):
     assert quality.quality_rules(empty).count() == 0
 
 
-def plain_mcd(x, h=0.75, most_steps=12, settled=1e-4):
+def plain_mcd(x, h=0.75, most_steps=12, settled=1e-3):
     """The estimates of all starts, by loops over rows; the one of smallest determinant."""
     n, p, floors = len(x), quality.P, np.square(quality.FLOORS)
     at = lambda q: np.sort(x, 0)[max(0, int(np.ceil(q * n)) - 1)]
@@ -765,7 +765,10 @@ def plain_mcd(x, h=0.75, most_steps=12, settled=1e-4):
             kept = x[fine <= np.sort(fine)[size - 1]]
             new.append((kept.mean(0), scatter(kept, quality._consistency(h))))
         starts, before, logs = new, logs, [np.linalg.slogdet(s)[1] for _, s in new]
-        if step > 1 and max(abs(a - b) for a, b in zip(logs, before, strict=True)) <= settled:
+        if step == 2:
+            best = int(np.argmin(logs))
+            starts, logs = [starts[best]], [logs[best]]
+        if step > 2 and max(abs(a - b) for a, b in zip(logs, before, strict=True)) <= settled:
             break
     return starts[int(np.argmin(logs))]
 
