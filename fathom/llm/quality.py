@@ -9,11 +9,12 @@ A group's estimate is shrunk towards that of all rows with the weight of ``weigh
 is judged much as all are, a large one by itself, and none changes its judge at a certain size.
 
 How it scales. The statistics are one pass over the texts and a few numbers a row. A concentration
-step is two aggregations by (group, start) over that table. The h-subset is exact but for rows of nearly
-equal distance: rows are counted by group, start and distance in steps of a ten-thousandth of its magnitude, and
-the subset ends with the step that reaches the h-th row. Counts and sums are combined map-side, the join with the
+step is two passes over that table, in Arrow batches, and an aggregation by (group, start) after each. The h-subset is
+exact but for rows of nearly equal distance: rows are counted by group, start and distance in steps of a ten-thousandth
+of its magnitude, and the subset ends with the step that reaches the h-th row; the second pass sums up what is in it.
+Counts and sums are combined within a batch and again map-side, the join with the
 models deals out groups that hold a large share of the rows, and no group is ever brought into one task. The
-models have one row per group and start. All rows as one group are the sums over the groups.
+models have one row per group and start; of all rows as one group, the driver sends three along with the passes.
 
 Defined cases. A null text counts as empty and has no words, so the base rule rejects it. Null
 languages or sources form groups of their own. Rows at one distance are in the subset together. Repeated rows are
@@ -199,6 +200,7 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*sums)
 
 
+#: The group of all rows.
 ALL = ""
 
 
@@ -213,28 +215,105 @@ def _with_all(by_group: DataFrame, keys: list[str], sums: list[str]) -> DataFram
 FINE = 8192
 
 
-def step_of(d2: Column) -> Column:
-    return F.floor(F.log2(d2 + F.lit(1e-9)) * F.lit(float(FINE))).cast("long")
+#: Counts of rows and sums of their coordinates and of the products of these.
+_MOMENT_SCHEMA = "g string, start int, n double, " + ", ".join(f"{c} double" for c in _SUMS)
+_FIRST, _SECOND = (np.array(k) for k in zip(*_PAIRS, strict=True))
+_TWICE = np.where(_FIRST == _SECOND, 1.0, 2.0)
+
+
+def steps(x: np.ndarray, mu: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    """Steps of the distances of rows (n, P) from their models (n, k, P) under (n, k, pairs)."""
+    away = x[:, None, :] - mu
+    d2 = (away[:, :, _FIRST] * away[:, :, _SECOND] * inv * _TWICE).sum(-1)
+    return np.floor(np.log2(np.maximum(d2, 0.0) + 1e-9) * FINE).astype(np.int64)
+
+
+def _read(b: pa.RecordBatch, pooled: list) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """x, codes of groups, the groups, starts, steps and cuts of a batch: a column for each model of the row's group, then for each of all rows."""
+    n = b.num_rows
+    flat = lambda c, width: c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1, width)
+    x = flat(b.column("x"), P)[:, 0]
+    own = b.column("models").flatten()
+    part = lambda name: own.field(name)
+    each = lambda name: np.broadcast_to(np.array([m[name] for m in pooled], float), (n, *np.shape([m[name] for m in pooled])))
+    mu = np.concatenate([flat(part("mu"), P), each("mu")], 1)
+    inv = np.concatenate([flat(part("inv"), len(_PAIRS)), each("inv")], 1)
+    one = lambda name: np.concatenate([part(name).to_numpy(zero_copy_only=False).reshape(n, -1), each(name).astype(np.int64)], 1)
+    groups = b.column("g").dictionary_encode()
+    return x, groups.indices.to_numpy(), groups.dictionary.to_pylist(), one("start"), steps(x, mu, inv), one("cut")
+
+
+def _counted(pooled: list):
+    """Rows by group, start and step of distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, code, names, start, step, _ = _read(b, pooled)
+            of_all = start.shape[1] - len(pooled)
+            for k in range(start.shape[1]):
+                group = code.astype(np.int64) if k < of_all else np.full(len(code), len(names), np.int64)
+                # A column holds one start, as models are listed in their order and those that stay are start 0.
+                keys, count = np.unique((group << 32) + (step[:, k] + (1 << 31)), return_counts=True)
+                named = pa.DictionaryArray.from_arrays(pa.array(keys >> 32, pa.int64()), pa.array([*names, ALL])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [named, pa.array(np.full(len(keys), start[0, k]), pa.int32()), pa.array((keys & 0xFFFFFFFF) - (1 << 31), pa.int64()), pa.array(count, pa.int64())],
+                    names=["g", "start", "step", "rows"],
+                )
+
+    return run
+
+
+def _summed(pooled: list):
+    """Moments by group and start of the rows that are not beyond the cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, code, names, start, step, cut = _read(b, pooled)
+            of_all = start.shape[1] - len(pooled)
+            inside = step <= cut
+            order = np.argsort(code, kind="stable")
+            begins = np.flatnonzero(np.diff(code[order], prepend=-1))
+            moments = np.concatenate([np.ones((len(x), 1)), x, x[:, _FIRST] * x[:, _SECOND]], 1)[order]
+            for k in range(start.shape[1]):
+                kept = moments * inside[order, k, None]
+                got = np.add.reduceat(kept, begins, 0) if k < of_all else kept.sum(0, keepdims=True)
+                named = pa.array([names[c] for c in code[order][begins]] if k < of_all else [ALL], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [named, pa.array(np.full(len(got), start[0, k]), pa.int32()), *(pa.array(c) for c in got.T)], names=["g", "start", "n", *_SUMS]
+                )
+
+    return run
 
 
 def _near(rows: DataFrame, models: DataFrame, total: int) -> DataFrame:
-    """(g, start, x, step) of rows (g, tie, x) under the models of their group (own: true) and of all."""
-    own = models.where(F.col("g") != ALL).groupBy("g").agg(F.collect_list(F.struct("start", "mu", "inv")).alias("models"), F.max("size").alias("n"))
-    joined = spread_join(rows, own, "g", F.xxhash64("tie"), total=total)
-    numbers = lambda v: F.array(*(F.lit(float(a)) for a in v))
-    pooled = models.where(F.col("g") == ALL).collect()  # one row for each start
-    as_all = F.array(*(F.struct(F.lit(ALL).alias("g"), F.lit(m.start).alias("start"), numbers(m.mu).alias("mu"), numbers(m.inv).alias("inv")) for m in pooled))
-    as_own = F.transform("models", lambda m: F.struct(F.col("g").alias("g"), m["start"].alias("start"), m["mu"].alias("mu"), m["inv"].alias("inv")))
-    each = joined.select("x", F.explode(F.concat(as_own, as_all)).alias("m")).select("m.*", "x")
-    return each.select("g", "start", "x", step_of(_distance()).alias("step"))
-
-
-def _cuts(near: DataFrame, part: float) -> DataFrame:
-    """(g, start, cut): the step with which a part of a group's rows is reached."""
-    counts = near.groupBy("g", "start", "step").agg(F.count(F.lit(1)).alias("rows"))
+    """(g, x, models) of rows (g, tie, x): each with the models of its group, by start."""
+    own = models.where(F.col("g") != ALL).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "mu", "inv", "cut"))).alias("models"), F.max("size").alias("n"))
+    return spread_join(rows, own, "g", F.xxhash64("tie"), total=total).select("g", "x", "models")
+
+
+def _pooled(models: DataFrame) -> list[dict]:
+    """The models of all rows, one for each start."""
+    return [r.asDict() for r in models.where(F.col("g") == ALL).select("start", "mu", "inv", "cut").orderBy("start").collect()]
+
+
+def _cuts(rows: DataFrame, models: DataFrame, total: int, part: float) -> DataFrame:
+    """models with their cut: the step with which a part of a group's rows is reached."""
+    counted = _near(rows, models, total).mapInArrow(_counted(_pooled(models)), "g string, start int, step long, rows long")
+    counts = counted.groupBy("g", "start", "step").agg(F.sum("rows").alias("rows"))
     by = Window.partitionBy("g", "start")
     upto = counts.select("g", "start", "step", F.sum("rows").over(by.orderBy("step")).alias("upto"), F.sum("rows").over(by).alias("of"))
-    return upto.where(F.col("upto") >= F.ceil(F.col("of") * F.lit(part))).groupBy("g", "start").agg(F.min("step").alias("cut"))
+    cut = upto.where(F.col("upto") >= F.ceil(F.col("of") * F.lit(part))).groupBy("g", "start").agg(F.min("step").alias("cut"))
+    return models.drop("cut").join(cut, ["g", "start"])
+
+
+def _concentrated(rows: DataFrame, models: DataFrame, total: int) -> DataFrame:
+    """(g, start, moments) of the rows within the cut of their models."""
+    summed = _near(rows, models, total).mapInArrow(_summed(_pooled(models)), _MOMENT_SCHEMA)
+    return summed.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
 
 
 def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float = 1e-3) -> DataFrame:
@@ -262,33 +341,25 @@ def mcd(rows: DataFrame, h: float = 0.75, most_steps: int = 12, settled: float =
     turned = spread_join(rows, mids.where(F.col("g") != ALL).withColumn("n", F.col("size")), "g", F.xxhash64("tie"), total=total).withColumn("u", unit).select("g", back.alias("x"))
     directions = _with_all(_moments(turned, ["g"]), ["g"], ["n", *_SUMS]).withColumn("start", F.lit(2))
     solved = everything.unionByName(directions).mapInPandas(run, schema).select("g", "start", "mu", "inv")
-    models = written(medians.unionByName(solved).join(sizes, "g"), "models")
+    fresh = {"cut": F.lit(0).cast("long"), "logdet": F.lit(None).cast("double")}
+    models = written(medians.unionByName(solved).join(sizes, "g").withColumns(fresh), "models")
     run, schema = _solve(["g", "start"], "g string, start int", h)
-    before = None
     for step in range(most_steps if total else 0):
-        near = _near(rows, models, total)
-        cut = written(_cuts(near, 0.5 if step == 0 else h), "cuts")
-        kept = near.join(F.broadcast(cut) if cut.count() <= SMALL_MODELS else cut, ["g", "start"]).where("step <= cut")
-        models = written(_moments(kept, ["g", "start"]).mapInPandas(run, schema).join(sizes, "g"), "models")
+        within = written(_cuts(rows, models, total, 0.5 if step == 0 else h), "cuts")
+        last = within.select("g", "start", "size", F.col("logdet").alias("was"))
+        models = _concentrated(rows, within, total).mapInPandas(run, schema).join(last, ["g", "start"]).withColumn("cut", fresh["cut"])
         if step == 2:
-            best = F.min_by(F.struct(*models.columns), F.struct("logdet", "start"))
-            models = written(models.groupBy("g").agg(best.alias("m")).select("m.*"), "best")
-        if step >= 2:
-            now = models.select("g", "start", "logdet")
-            if before is not None:
-                moved = now.join(before, ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-                if moved is None or moved <= settled:
-                    break
-            before = now.withColumnRenamed("logdet", "was")
+            models = models.groupBy("g").agg(F.min_by(F.struct(*models.columns), F.struct("logdet", "start")).alias("m")).select("m.*").withColumn("start", F.lit(0))
+        models = written(models, "models")
+        if step > 2:
+            moved = models.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+            if moved is None or moved <= settled:
+                break
     if not total:
         return models.select("g", "size", "mu", F.col("inv").alias("cov"), "inv")
     return models.groupBy("g").agg(F.min_by(F.struct("size", "mu", "cov", "inv"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
 
 
-#: Rows of a table of models, of a few hundred bytes each, up to which it is broadcast.
-SMALL_MODELS = 20_000
-
-
 def _shrunk(models: DataFrame, pooled, weight: float) -> DataFrame:
     """(g, mu, inv, n): each group's estimate with that of all rows as so many rows more."""
     centre, scatter = np.array(pooled.mu), np.zeros((P, P))
@@ -337,7 +408,7 @@ def robust_outliers(stats: DataFrame, h: float = 0.75, cutoff: float = 0.9999, w
 
 def quality_rules(docs: DataFrame, **how) -> DataFrame:
     """Statistics, the base verdict and the robust verdict of every document."""
-    return robust_outliers(written(statistics(docs), "stats"), **how)
+    return robust_outliers(statistics(docs), **how)
 
 
 def op10_quality(spark, sf_dir):
