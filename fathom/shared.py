@@ -40,10 +40,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, columnar and compressed."""
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = fresh_path(spark, name)
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -53,6 +51,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, columnar and compressed."""
+    return _write(df, fresh_path(df.sparkSession, name))
+
+
+def _delete(spark: SparkSession, names: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+class Tables:
+    """Tables of one computation in the shared folder; all but the kept ones are deleted at its end."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        _delete(self.spark, self.paths)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return _write(df, self.paths[-1])
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A result: written too, so that it needs none of the other tables."""
+        return written(df, name)
+
+
 def made() -> int:
     """How many paths have been made and not deleted."""
     return len(_made)
@@ -60,10 +91,7 @@ def made() -> int:
 
 def discard(spark: SparkSession, begin: int, end: int | None = None) -> None:
     """Delete the paths that were made from the number ``begin`` on."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in _made[begin:end]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
+    _delete(spark, _made[begin:end])
     del _made[begin:end]
 
 
