@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.shared import checkpointed, fresh_path, scratch, shared_dir, written
+from fathom.shared import Tables, checkpointed, fresh_path, scratch, shared_dir, written
 
-__all__ = ["checkpointed", "fresh_path", "let", "scratch", "shared_dir", "table", "written"]
+__all__ = ["Tables", "checkpointed", "fresh_path", "let", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="the driver's table
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, D), c.sql(queries.SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
