@@ -13,8 +13,8 @@ from fathom.functions import exprs as E
 from fathom.operators import calibrate, curves, kernels, mapping, qc, raster, relational, spatial, tiles
 from fathom.plans import carriers as C
 from fathom.plans.carriers import NX, NY, sql
-from fathom.shared import checkpointed
-from fathom.sources import pages, sinks, text
+from fathom.shared import Tables, checkpointed
+from fathom.sources import pages, sinks, survey, text
 from fathom.streaming import gate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -704,3 +704,56 @@ def segment_map(spark, d):
     p = C.colours(spark, d).select(F.lit(1).alias("map"), (F.col("p_partkey") % 40).cast("int").alias("y"), (F.col("p_partkey") % 37).cast("int").alias("x"), "r", "g", "b")
     one = p.groupBy("map", "y", "x").agg(*(F.min(c).alias(c) for c in "rgb"))
     return mapping.segment(one, "map", M.DISPLAY_PALETTE).select("y", "x", "k")
+
+
+# Files, written and read back through the data source.
+
+
+def _through_files(df: DataFrame, kind: str, ask=lambda r: r, **options: str) -> DataFrame:
+    spark = df.sparkSession
+    survey.register(spark)
+    with Tables(spark) as tables:
+        path = tables.path(f"survey-{kind}")
+        df.write.format("survey").option("kind", kind).mode("append").save(path)
+        read = spark.read.format("survey").option("kind", kind).options(**options).load(path)
+        return tables.kept(ask(read), "read-back")
+
+
+def _event_soundings(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return C.table(spark, d, "events").select(c("event_id").cast("string").alias("code"), F.concat("event_type", F.lit('; "é"')).alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("date"), (c("event_id") * 0.001).alias("lon"), (c("user_id") / 7.0).alias("lat"), c("value").alias("depth"))
+
+
+_EVENT_SOUNDINGS = """SELECT CAST(event_id AS VARCHAR) AS code, event_type || '; "é"' AS name, strftime(ts, '%Y-%m-%d') AS date, event_id * 1e-3 AS lon, user_id / 7e0 AS lat, value AS depth FROM events"""
+
+
+@query("delimited_round_trip", _EVENT_SOUNDINGS)
+def delimited_round_trip(spark, d):
+    """Events as delimited text with decimal commas, read in ranges of bytes."""
+    return _through_files(_event_soundings(spark, d), "delimited", split_bytes="65536")
+
+
+@query("geojson_round_trip", _EVENT_SOUNDINGS)
+def geojson_round_trip(spark, d):
+    return _through_files(_event_soundings(spark, d), "geojson")
+
+
+@query("delimited_filter", f"SELECT code, name, depth FROM ({_EVENT_SOUNDINGS}) WHERE depth > 50 AND lat <= 5.5e0 AND name LIKE 'c%'")
+def delimited_filter(spark, d):
+    """Comparisons are evaluated in the reader."""
+    return _through_files(_event_soundings(spark, d), "delimited", lambda r: r.where("depth > 50 and lat <= 5.5 and name like 'c%'").select("code", "name", "depth"))
+
+
+@query("zip_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS code, nullif(text, '') AS name, nullif(lang, '') AS date, doc_id * 1e0 AS depth FROM documents")
+def zip_round_trip(spark, d):
+    """Whole texts of documents as names, in the members of archives."""
+    c = F.col
+    docs = C.table(spark, d, "documents").select(c("doc_id").cast("string").alias("code"), c("text").alias("name"), c("lang").alias("date"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), c("doc_id").cast("double").alias("depth"))
+    return _through_files(docs, "zip", lambda r: r.select("code", "name", "date", "depth"))
+
+
+@query("matched_soundings", sql("SELECT code, name, count(*) AS n, round(sum(depth), 3) AS depth FROM soundings WHERE regexp_replace(lower(strip_accents(name)), '[^a-z0-9]', '', 'g') LIKE '%etangf%' OR lower(code) IN ('a', 'r') OR lower(code) LIKE '%a' GROUP BY 1, 2", "soundings"))
+def matched_soundings(spark, d):
+    """A lake's soundings: by its name, its codes or the end of the first code."""
+    kept = text.matching(C.soundings(spark, d), "etangf", ("a", "r"))
+    return kept.groupBy("code", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("depth"), 3).alias("depth"))

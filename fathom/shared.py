@@ -75,9 +75,12 @@ class Tables:
     def __exit__(self, *error) -> None:
         _delete(self.spark, self.paths)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
         self.paths.append(f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
-        return _write(df, self.paths[-1])
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return _write(df, self.path(name))
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         """A result: written too, so that it needs none of the other tables."""
