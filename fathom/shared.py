@@ -40,12 +40,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
+def _write(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     spark = df.sparkSession
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -80,7 +80,7 @@ class Tables:
         return self.paths[-1]
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        return _write(df, self.path(name))
+        return _write(df, self.path(name), "zstd")
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         """A result: written too, so that it needs none of the other tables."""
