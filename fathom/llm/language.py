@@ -45,7 +45,7 @@ UNKNOWN = "und"
 ORDER = 4
 #: Occurrences that the shared frequency counts as.
 WEIGHT = 1.0
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 25
 BLOCK_DOCS = 50_000
 _CODED = "block long, doc boolean, train string, letters boolean, bag binary, idx int, word string, langs array<string>, counts array<long>"
 
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
         known = evidence(counts, "word")
         for found in spelt(unseen, counts, order, tables):
             known = known.union(found)
-        hits = words.select("block", "idx", "word").join(known, "word").select("block", "idx", "lang", "v")
+        hits = tables.written(words.select("block", "idx", "word").join(known, "word").select("block", "idx", "lang", "v"), "hits")
         out = StructType([table.schema["keep"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
         bags = table.where("doc").select(F.col("block").alias("of"), "keep", "letters", "bag")
         judged = bags.groupBy("of").cogroup(hits.groupBy("block")).applyInArrow(_judge(priors), out)
