@@ -40,8 +40,13 @@ def raster(spark: SparkSession, d: str, odd: bool = False) -> DataFrame:
 
 
 def fixes(spark: SparkSession, d: str) -> DataFrame:
+    return fixes_of(table(spark, d, "events"))
+
+
+def fixes_of(events: DataFrame) -> DataFrame:
+    """Fixes of a table or a stream of events."""
     c = F.col
-    return table(spark, d, "events").select("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), (F.lit(-1.2) + (c("event_id") % 997) * 0.00012).alias("lon"), (F.lit(44.93) + (c("user_id") % 83) * 0.00087).alias("lat"), c("value").alias("accuracy"), ((c("event_id") % 50) / 10.0).alias("speed"))
+    return events.select("user_id", "event_id", c("ts").cast("timestamp").alias("ts"), (F.lit(-1.2) + (c("event_id") % 997) * 0.00012).alias("lon"), (F.lit(44.93) + (c("user_id") % 83) * 0.00087).alias("lat"), c("value").alias("accuracy"), ((c("event_id") % 50) / 10.0).alias("speed"))
 
 
 def lookup_cells(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathom import model as M
 from fathom.functions import exprs as E
@@ -15,7 +16,7 @@ from fathom.plans import carriers as C
 from fathom.plans.carriers import NX, NY, sql
 from fathom.shared import Tables, checkpointed
 from fathom.sources import pages, sinks, survey, text
-from fathom.streaming import gate
+from fathom.streaming import gate, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -600,16 +601,54 @@ def tile_changes(spark, d):
 _GATE = "f AS (SELECT *, accuracy <= 20 AS good, epoch_us(ts) - epoch_us(first_value(ts) OVER w) >= 12000000 AS late, arg_min(event_id, (accuracy, ts, event_id)) OVER w AS best_id, min(accuracy) OVER w AS best FROM fixes WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), g AS (SELECT *, coalesce(bool_or(good) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS had FROM f), h AS (SELECT *, NOT good AND late AND NOT had AS may FROM g), o AS (SELECT *, sum(CASE WHEN may THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM h)"
 
 
-@query("gps_gate_batch", sql(_GATE + " SELECT user_id, event_id, CASE WHEN good THEN event_id WHEN may AND nth = 1 THEN best_id END AS emitted_id, CASE WHEN good THEN accuracy WHEN may AND nth = 1 THEN best END AS accuracy, CASE WHEN good THEN 'delivered' WHEN may AND nth = 1 THEN 'fallback' ELSE 'refining' END AS status FROM o", "fixes"))
+_GATED = sql(_GATE + " SELECT user_id, event_id, CASE WHEN good THEN event_id WHEN may AND nth = 1 THEN best_id END AS emitted_id, CASE WHEN good THEN accuracy WHEN may AND nth = 1 THEN best END AS accuracy, CASE WHEN good THEN 'delivered' WHEN may AND nth = 1 THEN 'fallback' ELSE 'refining' END AS status FROM o", "fixes")
+
+
+@query("gps_gate_batch", _GATED)
 def gps_gate_batch(spark, d):
     return gate.gate_table(C.fixes(spark, d))
 
 
-@query("track_cap")
+def _fold_sql(most: int) -> str:
+    far = "(f.x - t.kx) * (f.x - t.kx) + (f.y - t.ky) * (f.y - t.ky) > 1"
+    return sql(
+        f"""f AS (SELECT user_id, event_id, (lon + 1.2e0) * 1e4 AS x, (lat - 44.93e0) * 1e4 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM fixes),
+t AS (SELECT user_id, event_id, rn, x AS kx, y AS ky, true AS kept FROM f WHERE rn = 1 UNION ALL
+  SELECT f.user_id, f.event_id, f.rn, CASE WHEN {far} THEN f.x ELSE t.kx END, CASE WHEN {far} THEN f.y ELSE t.ky END, {far} FROM t JOIN f ON f.user_id = t.user_id AND f.rn = t.rn + 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS nth, count(*) OVER (PARTITION BY user_id) AS n FROM t WHERE kept)
+SELECT user_id, CAST(nth - 1 - greatest(n - {most}, 0) AS INT) AS i, event_id, kx AS x, ky AS y FROM k WHERE back <= {most}""",
+        "fixes", recursive=True,
+    )
+
+
+def _track_points(fixes: DataFrame) -> DataFrame:
+    return fixes.withColumns({"x": (F.col("lon") + 1.2) * 10000.0, "y": (F.col("lat") - 44.93) * 10000.0})
+
+
+def _live(spark: SparkSession, d: str, of: Callable[[DataFrame], DataFrame], mode: str, last: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A stream of the events' files, run to its end."""
+    with Tables(spark) as tables:
+        files = spark.readStream.schema(C.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes no single file
+        done = live.run_to_end(of(C.fixes_of(files)), tables.path("live"), tables.path("live-checkpoint"), mode)
+        return tables.kept(last(done), "live-rows")
+
+
+@query("gps_gate_stream", _GATED)
+def gps_gate_stream(spark, d):
+    return _live(spark, d, live.gate_stream, "append")
+
+
+@query("track_stream", _fold_sql(30))
+def track_stream(spark, d):
+    """The last 30 points of each track from a stream with state."""
+    newest = F.max("n").over(Window.partitionBy("user_id"))
+    return _live(spark, d, lambda f: live.track_stream(_track_points(f), most=30), "update", lambda df: df.withColumn("m", newest).where("n = m").drop("n", "m"))
+
+
+@query("track_cap", _fold_sql(M.TRACK_LENGTH))
 def track_cap(spark, d):
-    """The last 800 points of each track, kept by their distance from the one kept before; tested against a plain fold."""
-    f = C.fixes(spark, d).withColumns({"x": (F.col("lon") + 1.2) * 10000.0, "y": (F.col("lat") - 44.93) * 10000.0})
-    return gate.track_table(f)
+    """The last 800 points of each track, kept by their distance from the one kept before."""
+    return gate.track_table(_track_points(C.fixes(spark, d)))
 
 
 @query("hourly_fixes", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(avg(value), 6) AS accuracy FROM events GROUP BY 1")

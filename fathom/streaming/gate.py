@@ -1,4 +1,4 @@
-"""Position fixes: the accuracy gate, tracks, and enrichment, on streams and on tables.
+"""Position fixes: the accuracy gate and tracks on tables (on streams: live.py), and enrichment on both.
 
 The gate, for each subscription in the order of (ts, event_id): every fix of at most 20 m is delivered;
 where none has been and 12 s have passed since the first, the best so far is delivered once, when the
@@ -7,12 +7,9 @@ next fix comes. After that only good fixes are. A fix without an accuracy is not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from fathom import model as M
@@ -36,41 +33,13 @@ def gate_table(fixes: DataFrame, accuracy: float = M.GATE_ACCURACY, seconds: flo
     return f.select("user_id", "event_id", chosen["event_id"].alias("emitted_id"), chosen["accuracy"].alias("accuracy"), status.alias("status"))
 
 
-def _gate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    start, best, best_id, delivered = state.get if state.exists else (None, None, None, False)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for event, ts, acc in zip(rows.event_id, rows.ts, rows.accuracy, strict=True):
-        micros = ts.value // 1000
-        start = micros if start is None else start
-        if pd.notna(acc) and (best is None or acc < best):
-            best, best_id = float(acc), int(event)
-        if pd.notna(acc) and acc <= M.GATE_ACCURACY:
-            delivered = True
-            out.append((key[0], event, event, float(acc), "delivered"))
-        elif not delivered and best is not None and micros - start >= M.GATE_SECONDS * 1_000_000:
-            delivered = True
-            out.append((key[0], event, best_id, best, "fallback"))
-        else:
-            out.append((key[0], event, None, None, "refining"))
-    state.update((start, best, best_id, delivered))
-    got = pd.DataFrame(out, columns=["user_id", "event_id", "emitted_id", "accuracy", "status"])
-    got["emitted_id"] = got["emitted_id"].astype("Int64")
-    yield got
-
-
-def gate_stream(fixes: DataFrame) -> DataFrame:
-    """The gate over a stream of fixes (user_id, event_id, ts, accuracy); rows of a batch are ordered, batches follow each other."""
-    return fixes.select("user_id", "event_id", "ts", "accuracy").groupBy("user_id").applyInPandasWithState(_gate, EMITTED, "start long, best double, best_id long, delivered boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 TRACK = "user_id long, i int, event_id long, x double, y double"
 
 
 def _kept(pdf: pd.DataFrame, last: tuple[float, float] | None, least: float) -> list[tuple[int, float, float]]:
     out = []
     for event, x, y in zip(pdf.event_id, pdf.x, pdf.y, strict=True):
-        if last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 > least * least:
+        if last is None or (x - last[0]) * (x - last[0]) + (y - last[1]) * (y - last[1]) > least * least:
             last = (x, y)
             out.append((int(event), float(x), float(y)))
     return out
@@ -90,21 +59,6 @@ def track_table(fixes: DataFrame, least: float = 1.0, most: int = M.TRACK_LENGTH
     return fixes.select("user_id", "ts", "event_id", "x", "y").groupBy("user_id").applyInPandas(run, TRACK)
 
 
-def track_stream(fixes: DataFrame, least: float = 1.0, most: int = M.TRACK_LENGTH) -> DataFrame:
-    """Points as they are added to tracks; the state holds the last point and how many there were."""
-
-    def run(key, batches, state: GroupState):
-        x, y, n = state.get if state.exists else (None, None, 0)
-        p = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        rows = _kept(p, None if x is None else (x, y), least)
-        if rows:
-            x, y = rows[-1][1:]
-        state.update((x, y, n + len(rows)))
-        yield pd.DataFrame([(key[0], n + i, *r) for i, r in enumerate(rows)], columns=["user_id", "i", "event_id", "x", "y"]).astype({"i": "int32"})
-
-    return fixes.select("user_id", "ts", "event_id", "x", "y").groupBy("user_id").applyInPandasWithState(run, TRACK, "x double, y double, n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def enrich(fixes: DataFrame, cells: DataFrame, levels: DataFrame, iy, ix) -> DataFrame:
     """Stream or table of fixes with the class under them and the level's depth interval; fixes off the grid stay. Of ``levels`` one row counts."""
     from fathom.functions.exprs import band_info

@@ -12,7 +12,7 @@ from fathom import model as M
 from fathom.functions import exprs as E
 from fathom.operators import curves, qc, raster, relational, spatial, tiles
 from fathom.sources import geo, pages, sinks, text
-from fathom.streaming import gate
+from fathom.streaming import gate, live
 
 
 START = datetime(2026, 1, 1)
@@ -113,13 +113,28 @@ def test_gate_stream_equals_table(spark, tmp_path):
     rows = [(u, u * 100 + i, START + timedelta(seconds=3 * i), rng.choice([None, 5.0, 25.0, 40.0, 90.0])) for u in range(6) for i in range(12)]
     schema = "user_id long, event_id long, ts timestamp, accuracy double"
     df = spark.createDataFrame(rows, schema)
-    for k in range(3):  # batches follow each other in time
-        df.where((F.col("event_id") % 100 >= 4 * k) & (F.col("event_id") % 100 < 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = gate.gate_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    add = lambda k: df.where((F.col("event_id") % 100 >= 4 * k) & (F.col("event_id") % 100 < 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, spark.table("gated").collect())) == sorted(map(key, gate.gate_table(df).collect()))
+    for k in range(3):  # batches follow each other in time, and the stream is begun again from its checkpoint
+        add(k)
+        if k:
+            stream = live.gate_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+            got = live.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "append")
+    assert sorted(map(key, got.collect())) == sorted(map(key, gate.gate_table(df).collect()))
+
+
+def test_track_stream_keeps_its_cap_over_restarts(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(u, u * 100 + i, START + timedelta(seconds=i), rng.uniform(0, 3), rng.uniform(0, 3)) for u in range(3) for i in range(60)] + [(9, 900, START, 1.0, 1.0)]
+    schema = "user_id long, event_id long, ts timestamp, x double, y double"
+    df = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        df.where((F.col("event_id") % 100 >= 20 * k) & (F.col("event_id") % 100 < 20 * k + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.track_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), most=4)
+        got = live.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "update").collect()
+    last = {u: max(r.n for r in got if r.user_id == u) for u in (0, 1, 2, 9)}
+    final = sorted((r.user_id, r.i, r.event_id, r.x, r.y) for r in got if r.n == last[r.user_id])
+    assert final == sorted(tuple(r) for r in gate.track_table(df, most=4).collect()) and min(last[u] for u in range(3)) > 8
 
 
 def test_track(spark):
