@@ -108,7 +108,7 @@ def gaussian(field: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarr
 
 
 #: Sides of a cell (0 top, 1 right, 2 bottom, 3 left) that its contour joins, by corners above the level (1 top left, 2 top right, 4 bottom right, 8 bottom left), the high side on the left. Saddles keep the high corners together.
-_CASES = {
+CASES = {
     1: [(0, 3)], 2: [(1, 0)], 3: [(1, 3)], 4: [(2, 1)], 5: [(0, 1), (2, 3)], 6: [(2, 0)], 7: [(2, 3)],
     8: [(3, 2)], 9: [(0, 2)], 10: [(1, 2), (3, 0)], 11: [(1, 2)], 12: [(3, 1)], 13: [(0, 1)], 14: [(3, 0)],
 }
@@ -122,7 +122,7 @@ def contours(field: np.ndarray, level: float = 0.5) -> list[np.ndarray]:
     links: dict[tuple, tuple] = {}
     for y, x in np.argwhere((case > 0) & (case < 15)).tolist():
         side = {0: (y, x, 0), 1: (y, x + 1, 1), 2: (y + 1, x, 0), 3: (y, x, 1)}
-        for a, b in _CASES[int(case[y, x])]:
+        for a, b in CASES[int(case[y, x])]:
             links[side[a]] = side[b]
 
     def place(s: tuple) -> tuple[float, float]:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from fathom import model as M
 from fathom.functions import exprs as E
-from fathom.operators import calibrate, curves, kernels, mapping, qc, raster, relational, spatial, tiles
+from fathom.operators import calibrate, contour, curves, distance, kernels, mapping, qc, raster, relational, spatial, tiles
 from fathom.plans import carriers as C
 from fathom.plans.carriers import NX, NY, sql
 from fathom.shared import Tables, checkpointed
@@ -265,10 +265,9 @@ def small_holes(spark, d):
 @query("nearest_fill", sql("have AS (SELECT y, x, k FROM raster WHERE k >= 3), g AS (SELECT CAST(a.y AS INT) AS y, CAST(b.x AS INT) AS x FROM range((SELECT max(y) + 1 FROM have)) a(y), range((SELECT max(x) + 1 FROM have)) b(x)) SELECT g.y, g.x, arg_min(h.k, CAST((g.y - h.y) * (g.y - h.y) + (g.x - h.x) * (g.x - h.x) AS BIGINT) * 1000000 + h.y * 1000 + h.x) AS k FROM g, have h GROUP BY 1, 2", "raster"))
 def nearest_fill(spark, d):
     """Every cell of the grid gets the class of the nearest that has one."""
-    import numpy as np
-
-    cells = C.raster(spark, d).where("k >= 3").withColumn("map", F.lit(1))
-    return kernels.by_raster(cells, "map", lambda f: kernels.nearest_fill(f, np.ones(f.shape, bool))).select("y", "x", "k")
+    have = C.raster(spark, d).where("k >= 3")
+    size = have.agg(F.max("y"), F.max("x")).first()
+    return distance.nearest_sources(have, (size[0] or 0) + 1, (size[1] or 0) + 1, strip_cells=1 << 11).select("y", "x", "k")
 
 
 _KERNEL = "w AS (SELECT CAST(d AS INT) AS d, exp(-0.5e0 * (d / 1.3e0) * (d / 1.3e0)) AS w FROM range(-5, 6) v(d)), n AS (SELECT d, w / (SELECT sum(w) FROM w) AS w FROM w), a AS (SELECT y + d AS y, x, sum(w) AS v FROM raster, n WHERE k >= 4 GROUP BY 1, 2)"
@@ -279,22 +278,31 @@ def gaussian_blur(spark, d):
     return rounded(raster.occupancy(C.raster(spark, d).where("k >= 4"), 1.3, F.lit(1.0)))
 
 
-@query("marching_squares")
-def marching_squares(spark, d):
-    """Ring lengths of every threshold's contours; tested against known shapes and areas."""
-    import pandas as pd
-
-    masks = raster.thresholds(C.raster(spark, d))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def _contour_sql(rounds: int = 15) -> str:
+    """Rings by doubling: the least point ahead within 2, 4, .. steps."""
+    side = {0: "(y + 1) * 4294967296 + (x + 1) * 2", 1: "(y + 1) * 4294967296 + (x + 2) * 2 + 1", 2: "(y + 2) * 4294967296 + (x + 1) * 2", 3: "(y + 1) * 4294967296 + (x + 1) * 2 + 1"}
+    cases = " UNION ALL ".join(f"SELECT t, {side[a]} AS node, {side[b]} AS nxt FROM squares WHERE c = {c}" for c, pairs in kernels.CASES.items() for a, b in pairs)
+    doubled = ", ".join(f"r{k + 1} AS MATERIALIZED (SELECT a.t, a.node, b.nxt, least(a.m, b.m) AS m FROM r{k} a JOIN r{k} b ON b.t = a.t AND b.node = a.nxt)" for k in range(rounds))
+    px = lambda n: f"((({n} & 4294967295) >> 1) - 1 + CASE WHEN {n} & 1 = 1 THEN 0 ELSE 0.5e0 END)"
+    py = lambda n: f"(({n} >> 32) - 1 + CASE WHEN {n} & 1 = 1 THEN 0.5e0 ELSE 0 END)"
+    area = f"{px('l.node')} * {py('l.nxt')} - {px('l.nxt')} * {py('l.node')}"
+    return sql(
+        f"""masks AS (SELECT CAST(t AS INT) AS t, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM raster, range(8) v(t) WHERE t <= k),
+squares AS (SELECT t, y - dy AS y, x - dx AS x, sum(b) AS c FROM masks, (VALUES (0, 0, 1), (0, 1, 2), (1, 1, 4), (1, 0, 8)) v(dy, dx, b) GROUP BY ALL),
+links AS MATERIALIZED ({cases}), r0 AS (SELECT t, node, nxt, node AS m FROM links), {doubled}
+SELECT l.t, r.m AS ring_id, count(*) AS points, sum({area}) / 2 AS area FROM links l JOIN r{rounds} r ON r.t = l.t AND r.node = l.node GROUP BY 1, 2""",
+        "raster",
+    )
 
-        f = np.zeros((NY, NX))
-        f[pdf.y.to_numpy(), pdf.x.to_numpy()] = 1
-        rows = [(int(pdf.t.iloc[0]), i, len(r), float(abs((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum() / 2))) for i, r in enumerate(kernels.contours(f))]
-        return pd.DataFrame(rows, columns=["t", "ring_id", "points", "area"])
 
-    return masks.groupBy("t").applyInPandas(run, "t int, ring_id long, points int, area double")
+@query("marching_squares", _contour_sql())
+def marching_squares(spark, d):
+    """Points and signed area of every ring of every threshold's contours."""
+    around = Window.partitionBy("t", "ring_id").orderBy("i")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(around), F.first(c).over(whole))
+    p = contour.rings(raster.thresholds(C.raster(spark, d)), tile=32).withColumns({"nx": after("x"), "ny": after("y")})
+    return p.groupBy("t", "ring_id").agg(F.count(F.lit(1)).alias("points"), (F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"))
 
 
 _MASKS = "masks AS (SELECT y, x, CAST(t AS INT) AS t FROM raster, range(8) v(t) WHERE t <= k AND NOT (t = 2 AND (y + x) % 5 = 0))"
@@ -319,10 +327,10 @@ def boundary_distance(spark, d):
 
     def edge(cells: DataFrame) -> DataFrame:
         m = cells.select("y", "x", F.when(F.col("k") >= 5, 1).otherwise(0).alias("k"))
-        return raster.boundary(m).where("k = 1").select((F.col("y") * 1000 + F.col("x")).cast("long").alias("q"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        return raster.boundary(m).where("k = 1").select("y", "x", "k")
 
     p, q = edge(C.raster(spark, d)), edge(C.raster(spark, d, odd=True))
-    one_way = lambda a, b: spatial.nearest(a, b.select("x", "y", F.col("q").alias("at")), 1, 4.0, ("at",)).select(F.sqrt("d2").alias("v"))
+    one_way = lambda a, b: distance.nearest_sources(b, NY, NX, strip_cells=1 << 11).select("y", "x", "d2").join(a, ["y", "x"]).select(F.sqrt("d2").alias("v"))
     near = one_way(p, q).unionByName(one_way(q, p))
     return rounded(near.agg(F.count(F.lit(1)).alias("n"), *relational.percentiles(F.col("v"), (0.95, 0.99)), F.max("v").alias("most")))
 
