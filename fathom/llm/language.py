@@ -172,6 +172,7 @@ def _judge(priors: dict[str, int]):
         idx = words.column("idx").to_numpy()[order]
         of = pc.index_in(words.column("lang"), names).to_numpy()[order].astype(np.int64)
         v = words.column("v").to_numpy()[order]
+        starts = np.searchsorted(idx, np.arange((idx[-1] if len(idx) else 0) + 2))  # of each word's evidence
         best, score = [], []
         for letters, bag in zip(docs.column("letters").to_pylist(), docs.column("bag"), strict=True):
             if not letters or not langs:
@@ -179,8 +180,9 @@ def _judge(priors: dict[str, int]):
                 score.append(0.0)
                 continue
             at, n = unpack(bag.as_py())
-            low, high = np.searchsorted(idx, at, "left"), np.searchsorted(idx, at, "right")
-            size = high - low
+            at = np.minimum(at, len(starts) - 1)
+            low = starts[at]
+            size = starts[np.minimum(at + 1, len(starts) - 1)] - low
             where = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
             total = start + np.bincount(of[where], v[where] * np.repeat(n, size), len(langs))
             k = int(np.argmax(total))
