@@ -147,20 +147,20 @@ def grams(word: Column, n: int) -> Column:
 
 
 def spelt(unseen: DataFrame, counts: DataFrame, order: int, tables: Tables) -> Iterator[DataFrame]:
-    """Evidence (word, lang, v) of unseen words by the longest n-grams of which any is known."""
+    """Evidence (word, lang, v) of unseen words (id, word) by the longest n-grams of which any is known; rows of n-grams carry the number, as words may be long."""
     for n in range(order, 0, -1):
         if unseen.isEmpty():
             return
-        pieces = unseen.select("word", F.explode(grams(F.col("word"), n)).alias("gram"))
+        pieces = unseen.select("id", F.explode(grams(F.col("word"), n)).alias("gram"))
         known = tables.written(counts.select("lang", F.explode(grams(F.col("word"), n)).alias("gram")).groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n")), "grams")
         by_gram = evidence(known, "gram").groupBy("gram").agg(F.collect_list(F.struct("lang", "v")).alias("of"))
         # Every n-gram is dealt out alike: the commonest has a few per cent of all places in any language.
         salted = by_gram.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = pieces.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("of")).alias("of"))
-        means = met.select("word", "k", F.inline("of")).groupBy("word", "lang").agg(F.round(F.sum("v") / F.first("k"), 9).alias("v"))
+        met = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("of")).alias("of"))
+        means = met.select("id", "k", F.inline("of")).groupBy("id", "lang").agg(F.round(F.sum("v") / F.first("k"), 9).alias("v"))
         found = tables.written(means, "spelt")
-        yield found
-        unseen = tables.written(unseen.join(found.select("word").distinct(), "word", "left_anti"), "unseen")
+        yield unseen.join(found, "id").select("word", "lang", "v")
+        unseen = tables.written(unseen.join(found.select("id").distinct(), "id", "left_anti"), "unseen")
 
 
 def _judge(priors: dict[str, int]):
@@ -205,7 +205,8 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
         priors = {r.train: r.n for r in table.where("doc and train is not null").groupBy("train").agg(F.count(F.lit(1)).alias("n")).collect()}
         counts = words.select("word", F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("counts").alias("n"))))
         counts = tables.written(counts.repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n")), "counts")
-        unseen = tables.written(words.select("word").distinct().join(counts.select("word").distinct(), "word", "left_anti"), "unseen")
+        unseen = words.select("word").distinct().join(counts.select("word").distinct(), "word", "left_anti")
+        unseen = tables.written(unseen.select(F.monotonically_increasing_id().alias("id"), "word"), "unseen")
         known = evidence(counts, "word")
         for found in spelt(unseen, counts, order, tables):
             known = known.union(found)
