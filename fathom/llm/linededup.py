@@ -111,7 +111,7 @@ def _places(spans: Column, lines: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", least_words: int = 50) -> DataFrame:
-    """docs with the text's repeated chunks removed, and how much: __removed_lines and __removed_bytes."""
+    """docs with the text's repeated chunks removed, and how much: __removed_lines and __removed_bytes (with more underscores where docs has such columns)."""
     base = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("doc")), "numbered")
     whole = F.col(f"doc.`{text}`")
     found = written(base.select("__row", F.explode(chunks(whole, least_words)).alias("c")).select("__row", "c.*"), "chunks")
@@ -146,8 +146,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", least_words: int = 50) -> D
     done = joined.withColumn("__out", F.when(F.col("__spans").isNotNull(), out))
     left = F.when(F.col("__out").isNull(), whole).otherwise(F.col("__out.text"))
     size = (F.octet_length(whole) - F.octet_length("__out.text")).cast("long")
-    counts = {"__removed_lines": F.coalesce("__out.n", F.lit(0)), "__removed_bytes": F.coalesce(size, F.lit(0).cast("long"))}
-    kept = [(left if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c not in counts]
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: free(f"_{name}") if name in taken else name
+    counts = {free("__removed_lines"): F.coalesce("__out.n", F.lit(0)), free("__removed_bytes"): F.coalesce(size, F.lit(0).cast("long"))}
+    kept = [(left if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
     return done.select(*kept, *(c.alias(n) for n, c in counts.items()))
 
 

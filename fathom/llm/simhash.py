@@ -246,7 +246,7 @@ def _crowds(met: DataFrame, distinct: DataFrame, fs: list[str], limit: int) -> D
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 8, block: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
     """docs without all but one document, the one of smallest doc_id, of each group of near copies."""
-    keyed = _row_keys(docs).select("__id", "__text", "text")
+    keyed = _row_keys(docs).select("__id", "__text", "doc.text")
     prints = written(fingerprints(keyed, shingle, words, ["__id", "__text"], repeats=False), "fingerprints")
     fs = [f"f{k}" for k in range(words)]
     distinct = written(prints.groupBy("node", "shingles", *fs).agg(F.min(F.struct("__id", "__text")).alias("first")), "distinct")
@@ -287,12 +287,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rooted = distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     # Equal rows of one doc_id still repeat; they have the same place after the join.
-    return _row_keys(docs).join(written(stays, "stays"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    return _row_keys(docs).join(written(stays, "stays"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select("doc.*")
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
-    """Two longs that tell rows apart which have one doc_id, or none, and different texts."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__text": F.xxhash64("text")})
+    """Two longs that tell rows apart which have one doc_id, or none, and different texts, and the row, whose columns may have any names."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64("text").alias("__text"), F.struct("*").alias("doc"))
 
 
 def op9_simhash(spark, sf_dir):

@@ -24,7 +24,7 @@ are held back from the counts, a fifth of the labelled rows at most.
 
 Defined cases. Null and empty texts have differences of 0 and the score of such a text. A doc_id that
 is labelled more than once is toxic if one label says so; null labels are not used. Without labelled
-rows of both classes every score is the share of toxic labels, or 0. Repeated rows are scored each. An
+rows of both classes to fit the curve on every score is the share of toxic labels, or 0. Repeated rows are scored each. An
 empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
@@ -268,7 +268,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, most_fit: int, small_labels: int
     x, y = _features_of(fit), fit.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         return parts, fit_logistic(x, y)
-    share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
+    share = float(np.clip(labelled.agg(F.avg("toxic")).first()[0] or 0.0, 1e-9, 1 - 1e-9))  # of all labelled rows, not of the few held back
     return parts, np.array([0.0] * FEATURES + [np.log(share / (1 - share))])
 
 
@@ -290,7 +290,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_fit: int = 20_000, small_labels: int = 1_000_000, part_nodes: int = PART_NODES) -> DataFrame:
     """docs without those of a score of ``threshold`` or more."""
     parts, weights = _fitted(docs, labels, most_fit, small_labels, part_nodes)
-    return _featured(docs, parts, docs.columns).where(_score(weights) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("doc"), "text")  # columns may have any names
+    return _featured(rows, parts, ["doc"]).where(_score(weights) < threshold).select("doc.*")
 
 
 def op2_toxicity(spark, sf_dir):
