@@ -9,10 +9,10 @@ How it scales. Archives are written by Spark's text writer, whose line separator
 ends that closes a WARC record, so that the commit protocol covers lost executors and nothing is
 written outside the shared folder. Choosing the responses is a maximum by digest, combined map-side,
 over headers of a hundred bytes or so; a digest of a third of all rows costs no more than others. The
-payloads are shuffled once, by the key that is unique, not by digest. ``max_records`` bounds the
-archive that one task reads at a time.
+payloads are shuffled once, by the key that is unique, not by digest (once more where there are large ones, which are written apart). Archives
+are bounded by records and bytes, and read a record at a time, whether they are one gzip member or one a record.
 
-Defined cases. A null payload is an empty one. A null url is written as an empty header. Records with
+Defined cases. When read, records other than responses and revisits are skipped. A null payload is an empty one. A null url is written as an empty header. Records with
 payloads under ``least`` bytes are never revisits. Rows that repeat a key are one record each, and equal
 ones of the largest key are all responses. An empty table
 gives an empty result.
@@ -20,8 +20,12 @@ gives an empty result.
 
 from __future__ import annotations
 
-import zlib
+import base64
+import gzip
+import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,26 +83,41 @@ def formatted(rows: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     return rows.select(F.concat(head, http, payload).alias("value"))
 
 
-def write_warc(rows: DataFrame, path: str, max_records: int = 2000) -> None:
-    """Gzipped WARC files, at most ``max_records`` records each."""
-    formatted(rows).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+#: Payloads up to here share files; larger ones are written apart, as many to a file as its bytes allow.
+SMALL_BYTES, FILE_BYTES = 1 << 18, 1 << 29
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
-        if not lines[0].startswith("WARC/"):
+def write_warc(rows: DataFrame, path: str, max_records: int = FILE_BYTES // SMALL_BYTES) -> None:
+    """Gzipped WARC files of at most ``max_records`` records and about ``FILE_BYTES`` each (a larger record is a file)."""
+
+    def write(part: DataFrame, most: int, mode: str = "error") -> None:
+        formatted(part).write.mode(mode).option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+    largest = rows.agg(F.max("payload_bytes")).first()[0] or 0
+    write(rows.where(F.col("payload_bytes") <= SMALL_BYTES) if largest > SMALL_BYTES else rows, max_records)
+    if largest > SMALL_BYTES:
+        write(rows.where(F.col("payload_bytes") > SMALL_BYTES), max(1, min(max_records, FILE_BYTES // largest)), "append")
+
+
+def unzipped(data: bytes) -> BinaryIO:
+    """An archive's bytes as they are asked for: of all its gzip members, a file or a record each, or as they stand."""
+    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+
+
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, by lower-case names, and block of each record of an archive, one at a time."""
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record at the place where one should begin")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        begin = end + 4
-        at = begin + int(head["Content-Length"])
-        if data[at : at + 4] != b"\r\n\r\n":
+        head = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().partition(":")
+            head[name.strip().lower()] = value.strip()
+        size = int(head["content-length"])
+        block = archive.read(size)
+        if len(block) != size or archive.read(4) != b"\r\n\r\n":
             raise ValueError("a WARC record is not closed")
-        yield head, data[begin:at]
-        at += 4
+        yield head, block
 
 
 def _key(value: str) -> int | None:
@@ -106,26 +125,41 @@ def _key(value: str) -> int | None:
     return int(number) if number else None
 
 
-def _read(with_payload: bool):
-    import hashlib
+def _record(head: dict[str, str], block: bytes) -> tuple:
+    """Key, url, type, what it refers to, payload's size and digest, and the payload, which a revisit has not."""
+    http, _, payload = block.partition(b"\r\n\r\n")
+    stated = {k.strip().lower(): v for k, _, v in (x.partition(":") for x in http.decode(errors="replace").split(CRLF)[1:])}
+    digest = head["warc-payload-digest"].removeprefix("sha1:")
+    if len(digest) == 32:  # base 32, as many archives have it
+        digest = base64.b32decode(digest).hex()
+    revisit = head["warc-type"] == "revisit"
+    size = int(stated["content-length"]) if "content-length" in stated else None if revisit else len(payload)
+    if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+        raise ValueError("a payload is not what its header says")
+    refers = _key(head["warc-refers-to"]) if revisit and "warc-refers-to" in head else None
+    return _key(head["warc-record-id"]), head.get("warc-target-uri", ""), head["warc-type"], refers, size, digest, None if revisit else payload.decode()
+
+
+def _read(with_payload: bool, batch_bytes: int = 8 << 20):
+    names = [x.split()[0] for x in HEADERS.split(", ")] + ["payload"] * with_payload
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_payload
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in HEADERS.split(", ")] + ["payload"] * with_payload
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * with_payload
         for b in batches:
             for content in b.column(0):
-                rows = []
-                for head, block in parse(zlib.decompress(content.as_py(), 47)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    stated = dict(x.split(": ", 1) for x in http.decode().split(CRLF)[1:])
-                    size, digest = int(stated["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    revisit = head["WARC-Type"] == "revisit"
-                    if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError("a payload is not what its header says")
-                    refers = _key(head["WARC-Refers-To"]) if revisit else None
-                    rows.append((_key(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], refers, size, digest, *([None if revisit else payload.decode()] * with_payload)))
-                cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                rows, held = [], 0
+                for head, block in parse(unzipped(content.as_py())):
+                    if head["warc-type"] in ("response", "revisit"):
+                        rows.append(_record(head, block))
+                        held += len(block) + 200
+                    if held > batch_bytes:
+                        yield batch(rows)
+                        rows, held = [], 0
+                yield batch(rows)
 
     return run
 
