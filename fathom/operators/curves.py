@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom import model as M
+from fathom.shared import Tables
 
 KEYS = ("k", "ring_id")
 
@@ -64,12 +65,32 @@ def densify(rings: DataFrame, step: float) -> DataFrame:
     return d.select(*KEYS, "i", "j", (F.col("x") + (F.col("nx") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("ny") - F.col("y")) * t).alias("y"))
 
 
-def collinear_pass(rings: DataFrame) -> DataFrame:
-    """Without the points of even places that lie exactly on the way between their neighbours; repeat until none goes."""
-    r = with_neighbours(rings).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
+def _straight() -> Column:
     ax, ay, bx, by = F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
-    straight = (ax * by - ay * bx == 0) & (ax * bx + ay * by > 0)
-    return r.where(~(straight & (F.col("i") % 2 == 0) & (F.col("size") > 3))).drop("px", "py", "nx", "ny", "size")
+    return (ax * by - ay * bx == 0) & (ax * bx + ay * by > 0)
+
+
+def collinear_free(rings: DataFrame) -> DataFrame:
+    """Without points that lie exactly on the way between their neighbours, until none is left.
+
+    A pass takes all of them at once: where several follow each other, all lie on one line and their ends keep their directions. With exact
+    coordinates that is the end; where rounding makes new ones, passes go on.
+    """
+    with Tables(rings.sparkSession) as tables:
+        while True:
+            near = tables.written(with_neighbours(rings).withColumn("straight", _straight()), "straight")
+            left = near.where("not straight").select(*rings.columns)
+            if near.where("straight").isEmpty():
+                return tables.kept(left, "collinear-free")
+            rings = left
+
+
+def category_area(rings: DataFrame, by: str) -> DataFrame:
+    """Area within the rings of each category, by the shoelace formula; rings are taken one by one, whatever way they turn."""
+    cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
+    keys = list(dict.fromkeys([by, *KEYS]))
+    each = with_neighbours(rings).groupBy(*keys).agg(F.abs(F.sum(cross)).alias("double"))
+    return each.groupBy(by).agg((F.sum("double") / 2).alias("area"))
 
 
 def point_on_ring(rings: DataFrame, fraction: Column) -> DataFrame:

@@ -383,9 +383,10 @@ def even_odd_union(spark, d):
     return spatial.even_odd(cells, edges, "cell", bin_size=8.0)
 
 
-@query("polygon_area", sql("SELECT CAST(geom_id AS BIGINT) AS geom_id, round(sum(CASE WHEN ring = 0 THEN d ELSE -d END) / 2, 6) AS area FROM (SELECT geom_id, ring, abs(sum(x1 * y2 - x2 * y1)) AS d FROM edges GROUP BY 1, 2) GROUP BY 1", "edges"))
+@query("polygon_area", sql("SELECT k, round(sum(d) / 2, 6) AS area FROM (SELECT k, ring_id, abs(sum(x * ny - nx * y)) AS d FROM around GROUP BY 1, 2) GROUP BY 1", "rings", "around"))
 def polygon_area(spark, d):
-    return rounded(spatial.union_area(C.polygons(spark), "geom_id"))
+    """Area of the rings of each class."""
+    return rounded(curves.category_area(C.rings(spark, d), "k"))
 
 
 _NODES = "nodes AS (SELECT CAST(iy * 100 + ix AS BIGINT) AS q, 17e0 + ix * 313e0 AS x, 11e0 + iy * 271e0 AS y FROM range(30) a(iy), range(30) b(ix)), pts AS (SELECT x, y, median(depth) AS depth FROM (SELECT (lon - (-1.2e0)) * " + METRES + f" AS x, (lat - 44.93e0) * {M.METRES_PER_DEGREE!r}e0 AS y, depth FROM soundings) GROUP BY 1, 2), near AS (SELECT q, (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) AS d2, depth FROM nodes n, pts p), top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d2, depth) AS r FROM near QUALIFY r <= 16), z AS (SELECT q, sum(1e0 / (d2 + 144e0) * depth) / sum(1e0 / (d2 + 144e0)) AS z, sqrt(min(d2)) AS nearest FROM top GROUP BY 1)"
@@ -483,9 +484,9 @@ def longest_rings(spark, d):
     return relational.top_per_group(m, ["k"], [F.desc("perimeter"), F.col("ring_id")], 8)
 
 
-@query("collinear_reduce", sql("SELECT k, ring_id, i, x, y FROM around WHERE NOT (i % 2 = 0 AND (x - px) * (ny - y) - (y - py) * (nx - x) = 0 AND (x - px) * (nx - x) + (y - py) * (ny - y) > 0)", "rings", "around"))
+@query("collinear_reduce", sql("SELECT k, ring_id, i, x, y FROM around WHERE NOT ((x - px) * (ny - y) - (y - py) * (nx - x) = 0 AND (x - px) * (nx - x) + (y - py) * (ny - y) > 0)", "rings", "around"))
 def collinear_reduce(spark, d):
-    return curves.collinear_pass(C.rings(spark, d))
+    return curves.collinear_free(C.rings(spark, d))
 
 
 @query("douglas_peucker")
@@ -546,10 +547,19 @@ def link_extract(spark, d):
     return C.table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(pages.hrefs(F.col("html")))).alias("href"))
 
 
-@query("link_follow")
+_FOLLOW = f"""WITH s AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '{_HREF}', 1))) AS href FROM pages WHERE page_id % 20 = 0),
+l AS (SELECT page_id, url, regexp_replace(CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href
+  ELSE regexp_replace(regexp_extract(url, '^([a-z]+://[^?#]*)', 1), '([^/:])/[^/]*$', '\\1') || '/' || href END, '#.*$', '') AS link FROM s),
+f AS (SELECT link, min(page_id) AS from_id, count(DISTINCT page_id) AS n_pages FROM l WHERE regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) GROUP BY link),
+k AS (SELECT regexp_replace(url, '#.*$', '') AS link, min(page_id) AS known_id, bool_or(page_id % 20 = 0) AS seed FROM pages GROUP BY 1)
+SELECT link, from_id, n_pages, known_id FROM f LEFT JOIN k USING (link) WHERE NOT coalesce(seed, false)"""
+
+
+@query("link_follow", _FOLLOW)
 def link_follow(spark, d):
-    """Pages reached over one link on the same site; addresses are resolved by rules that SQL checks in link_extract only."""
-    return pages.follow(C.table(spark, d, "pages"))
+    """One link on from every twentieth page."""
+    p = C.table(spark, d, "pages")
+    return pages.frontier(p, p.where("page_id % 20 = 0"))
 
 
 @query("line_hits", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM l), h AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM e WHERE regexp_matches(line, '[0-9]{3}|token|License')) SELECT doc_id, line_no, line FROM h WHERE r <= 40")

@@ -34,6 +34,22 @@ def follow(pages: DataFrame, most: int | None = None) -> DataFrame:
     return new if most is None else new.orderBy("target_id").limit(most)
 
 
+def frontier(pages: DataFrame, seeds: DataFrame, pattern: str = ".") -> DataFrame:
+    """What is one link from the seeds (page_id) on their own sites and was not visited: (link, from_id, n_pages, known_id), each address once.
+
+    Visited is what the seeds' addresses name, fragments aside; ``known_id`` is the smallest page of the table that has the address, if one has it.
+    """
+    bare = lambda c: F.regexp_replace(c, "#.*$", "")
+    host = lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#]+)", 1)
+    start = pages.join(seeds.select("page_id").distinct(), "page_id", "left_semi")
+    each = start.select("page_id", "url", F.explode(F.array_distinct(hrefs(F.col("html")))).alias("href"))
+    found = each.select("page_id", "url", bare(absolute(F.col("href"), F.col("url"))).alias("link")).where(F.col("link").rlike(pattern) & (host("link") == host("url")))
+    new = found.groupBy("link").agg(F.min("page_id").alias("from_id"), F.count_distinct("page_id").alias("n_pages"))
+    new = new.join(start.select(bare("url").alias("link")).distinct(), "link", "left_anti")
+    known = pages.groupBy(bare("url").alias("link")).agg(F.min("page_id").alias("known_id"))
+    return new.join(known, "link", "left")
+
+
 def snippets(pages: DataFrame, pattern: str, before: int = 160, after: int = 240, most: int = 40) -> DataFrame:
     """Text around the first matches in each page, tags off and white space squeezed."""
     found = pages.select("page_id", F.slice(F.regexp_extract_all("html", F.lit(f"(?is)(.{{0,{before}}}(?:{pattern}).{{0,{after}}})"), F.lit(1)), 1, most).alias("ss"))

@@ -259,3 +259,28 @@ def test_nearest_fill_query(spark):
     got = {(r.y, r.x): r.k for r in catalogue.QUERIES["nearest_fill"](spark, d).collect()}
     for y, x in [(0, 0), (95, 127), (40, 60), (13, 99)]:
         assert got[y, x] == min(((a - y) ** 2 + (b - x) ** 2, a, b, k) for a, b, k in have)[3]
+
+
+def test_frontier_of_seeds(spark):
+    a = lambda *links: "".join(f'<a href="{x}">x</a>' for x in links)
+    rows = [(1, "http://h/a/p?q=1", a("/b", "c", "http://h/a/p?q=1#top", "http://other/x", "/b#part")), (2, "http://h/b#z", a("/d")), (3, "http://h/a/e", a("/b", "p?q=1")), (4, None, a("/b")), (5, "http://h/d", None)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(1,), (3,), (3,), (5,)], "page_id long")
+    got = {r.link: (r.from_id, r.n_pages, r.known_id) for r in pages.frontier(p, seeds).collect()}
+    assert got == {"http://h/b": (1, 2, 2), "http://h/a/c": (1, 1, None)}
+    assert pages.frontier(p, seeds.limit(0)).count() == 0
+
+
+def test_collinear_points_go_to_the_end(spark):
+    import numpy as np
+
+    from fathom.operators import kernels
+
+    shapes = {1: [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (3, 2), (0, 2), (0, 1)], 2: [(0, 0), (5, 0), (0, 5)], 3: [(0, 0), (4, 4), (2, 2), (6, 6), (0, 9)]}
+    rows = [(0, r, i, float(x), float(y)) for r, ps in shapes.items() for i, (x, y) in enumerate(ps)]
+    df = spark.createDataFrame(rows, "k int, ring_id long, i int, x double, y double")
+    got = curves.collinear_free(df).collect()
+    for r, ps in shapes.items():
+        assert sorted(g.i for g in got if g.ring_id == r) == kernels.collinear_free(np.array(ps, float)).tolist()
+    area = {g.ring_id: g.area for g in curves.category_area(df.where("ring_id < 3"), "ring_id").collect()}
+    assert area == {1: 6.0, 2: 12.5}
