@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.shared import checkpointed
+from fathom.operators.graph import components
+from fathom.shared import Tables
 
 
 def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
@@ -230,7 +231,7 @@ def components_by_blocks(mask: DataFrame, block: int = 512) -> DataFrame:
     """(y, x, component) of the cells of a mask (y, x): the smallest flat place y << 32 | x reached over direct neighbours.
 
     Blocks are labelled apart; labels that touch across borders are links, whose components are found by
-    minima over neighbours until nothing changes. A block's border, not its cells, takes part in that.
+    contraction. A block's border, not its cells, takes part in that, and rounds grow with the logarithm of the blocks that a component crosses.
     """
     place = lambda y, x: F.shiftleft(F.col(y).cast("long"), 32).bitwiseOR(F.col(x).cast("long"))
     blocked = mask.select("y", "x", F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx"))
@@ -245,18 +246,10 @@ def components_by_blocks(mask: DataFrame, block: int = 512) -> DataFrame:
         np.minimum.at(least, own, (y << 32) | x)
         return pd.DataFrame({"y": y.astype("int32"), "x": x.astype("int32"), "label": least[own]})
 
-    labels = checkpointed(blocked.groupBy("by", "bx").applyInPandas(run, "y int, x int, label long"))
-    edge = labels.where(((F.col("y") % block) == 0) | ((F.col("x") % block) == 0))
-    up = edge.where(F.col("y") % block == 0).select((F.col("y") - 1).alias("y"), "x", F.col("label").alias("u"))
-    left = edge.where(F.col("x") % block == 0).select("y", (F.col("x") - 1).alias("x"), F.col("label").alias("u"))
-    links = up.unionByName(left).join(labels, ["y", "x"]).select("u", F.col("label").alias("v")).distinct()
-    links = checkpointed(links.union(links.select("v", "u")))
-    state = links.select(F.col("u").alias("label")).distinct().withColumn("root", F.col("label"))
-    while True:
-        seen = links.join(state.select(F.col("label").alias("v"), "root"), "v").groupBy(F.col("u").alias("label")).agg(F.min("root").alias("near"))
-        new = checkpointed(state.join(seen, "label", "left").select("label", "root", F.least("root", "near").alias("next")))
-        settled = new.where("next < root").isEmpty()
-        state = new.select("label", F.col("next").alias("root"))
-        if settled:
-            break
-    return labels.join(state, "label", "left").select("y", "x", F.coalesce("root", "label").alias("component"))
+    with Tables(mask.sparkSession) as tables:
+        labels = tables.written(blocked.groupBy("by", "bx").applyInPandas(run, "y int, x int, label long"), "labels")
+        up = labels.where(F.col("y") % block == 0).select((F.col("y") - 1).alias("y"), "x", F.col("label").alias("u"))
+        left = labels.where(F.col("x") % block == 0).select("y", (F.col("x") - 1).alias("x"), F.col("label").alias("u"))
+        links = up.unionByName(left).join(labels, ["y", "x"]).select("u", F.col("label").alias("v")).distinct()
+        rooted = components(links).select(F.col("node").alias("label"), "root")
+        return tables.kept(labels.join(rooted, "label", "left").select("y", "x", F.coalesce("root", "label").alias("component")), "components")

@@ -105,3 +105,29 @@ def test_search_finds_the_minimum():
     p, cost = calibrate.evolve(loss, generations=60)
     q, polished = calibrate.nelder_mead(loss, p, scale / 20, 200)
     assert polished <= cost and polished < 1e-3 and math.isfinite(cost)
+
+
+def test_components_of_links(spark):
+    import random
+
+    from fathom.operators.graph import components
+
+    rng = random.Random(3)
+    path = [(k, k + 1) for k in range(0, 70)]  # a long line of nodes
+    star = [(1000, 1001 + k) for k in range(80)]
+    other = [(rng.randrange(2000, 2060), rng.randrange(2000, 2060)) for _ in range(40)]
+    links = path + star + other + path[:5]
+    parent: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while parent.setdefault(n, n) != n:
+            n = parent[n]
+        return n
+
+    for u, v in links:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    rng.shuffle(links)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long").repartition(3)).collect()}
+    assert got == {n: root(n) for u, v in links if u != v for n in (u, v)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
