@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom import model as M
+from fathom.operators.graph import dealt_join
 from fathom.shared import Tables
 
 KEYS = ("k", "ring_id")
@@ -85,6 +86,41 @@ def collinear_free(rings: DataFrame) -> DataFrame:
             rings = left
 
 
+def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
+    """Points that Douglas and Peucker keep of closed rings, from each one's first point round to it, for rings of any length.
+
+    All open segments are split at once: a round finds the farthest point of each by a maximum that is combined map-side, keeps
+    it if it is off by more than the tolerance, and deals the others to the halves. Of equally far ones the first counts. Comparisons are of
+    squares without a division, exact for integer coordinates. Rounds are as many as the deepest ring has levels.
+    """
+    place = F.row_number().over(_ordered()) - 1
+    each = rings.select(*KEYS, "i", "x", "y", place.alias("at"))
+    ends = each.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("x", "y"), "at").alias("a"))
+    with Tables(rings.sparkSession) as tables:
+        begun = each.join(ends, list(KEYS)).select(F.struct(*KEYS, F.lit(0).alias("from")).alias("segment"), "i", "at", F.struct("x", "y").alias("p"), "a", F.col("a").alias("b"))
+        begun = tables.written(begun, "begun")
+        kept, open_ = begun.where("at = 0").select("segment", "i", "p"), begun.where("at > 0")
+        dx, dy = (F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xy")
+        px, py = (F.col(f"p.{c}") - F.col(f"a.{c}") for c in "xy")
+        length, cross = dx * dx + dy * dy, px * dy - py * dx
+        off = F.when(length == 0, px * px + py * py).otherwise(cross * cross)
+        enough = F.when(length == 0, F.lit(1.0)).otherwise(length) * F.lit(tolerance * tolerance)
+        while not open_.isEmpty():
+            rated = open_.withColumns({"off": off, "enough": enough})
+            far = rated.groupBy("segment").agg(F.max_by(F.struct("i", "at", "p", "off", "enough"), F.struct(F.col("off"), -F.col("at"))).alias("far"), F.count(F.lit(1)).alias("n"))
+            far = tables.written(far.where("far.off > far.enough"), "farthest")
+            kept = kept.union(far.select("segment", "far.i", "far.p"))
+            total = far.agg(F.sum("n")).first()[0]
+            if not total:
+                break
+            met = dealt_join(open_, far, "segment", F.xxhash64("at"), total).where("at != far.at")
+            before = F.col("at") < F.col("far.at")
+            segment = F.struct(*(F.col(f"segment.{k}").alias(k) for k in KEYS), F.when(before, F.col("segment.from")).otherwise(F.col("far.at")).alias("from"))
+            halves = met.select(segment.alias("segment"), "i", "at", "p", F.when(before, F.col("a")).otherwise(F.col("far.p")).alias("a"), F.when(before, F.col("far.p")).otherwise(F.col("b")).alias("b"))
+            open_ = tables.written(halves, "halves")
+        return tables.kept(kept.select(*(F.col(f"segment.{k}").alias(k) for k in KEYS), "i", "p.x", "p.y"), "simplified")
+
+
 def category_area(rings: DataFrame, by: str) -> DataFrame:
     """Area within the rings of each category, by the shoelace formula; rings are taken one by one, whatever way they turn."""
     cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")

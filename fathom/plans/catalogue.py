@@ -489,10 +489,23 @@ def collinear_reduce(spark, d):
     return curves.collinear_free(C.rings(spark, d))
 
 
-@query("douglas_peucker")
+def _peucker_sql(tolerance: float) -> str:
+    off = "CASE WHEN l = 0 THEN (x - ax) * (x - ax) + (y - ay) * (y - ay) ELSE ((x - ax) * dy - (y - ay) * dx) * ((x - ax) * dy - (y - ay) * dx) END"
+    return sql(
+        f"""n AS (SELECT k, ring_id, CAST(count(*) AS INT) AS n FROM rings GROUP BY 1, 2), p AS (SELECT k, ring_id, i, x, y FROM rings UNION ALL SELECT k, ring_id, n, x, y FROM rings JOIN n USING (k, ring_id) WHERE i = 0),
+s AS (SELECT k, ring_id, 0 AS a, n AS b FROM n UNION ALL SELECT k, ring_id, unnest([a, m]), unnest([m, b]) FROM (
+  SELECT k, ring_id, a, b, arg_max(i, (off, -i)) AS m, max(off) AS far, any_value(l) AS l FROM (
+    SELECT *, {off} AS off FROM (SELECT s.k, s.ring_id, s.a, s.b, c.i, c.x, c.y, u.x AS ax, u.y AS ay, v.x - u.x AS dx, v.y - u.y AS dy, (v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y) AS l
+      FROM s JOIN p u ON u.k = s.k AND u.ring_id = s.ring_id AND u.i = s.a JOIN p v ON v.k = s.k AND v.ring_id = s.ring_id AND v.i = s.b JOIN p c ON c.k = s.k AND c.ring_id = s.ring_id AND c.i > s.a AND c.i < s.b)) GROUP BY 1, 2, 3, 4)
+  WHERE far > CASE WHEN l = 0 THEN 1 ELSE l END * {tolerance * tolerance!r}e0)
+SELECT DISTINCT k, ring_id, i, x, y FROM p JOIN s USING (k, ring_id) WHERE p.i = s.a""",
+        "rings", recursive=True,
+    )
+
+
+@query("douglas_peucker", _peucker_sql(4.0))
 def douglas_peucker(spark, d):
-    """Rings simplified to within 4; tested for the tolerance and against a recursive version."""
-    return kernels.by_ring(C.rings(spark, d), ["k", "ring_id"], lambda p: p[kernels.simplify_ring(p, 4.0)])
+    return curves.simplified(C.rings(spark, d), 4.0)
 
 
 @query("svg_path", sql("SELECT k, ring_id, 'M ' || string_agg(printf('%.1f,%.1f', x, y), ' L ' ORDER BY i) || ' Z' AS d FROM rings GROUP BY 1, 2", "rings"))

@@ -284,3 +284,20 @@ def test_collinear_points_go_to_the_end(spark):
         assert sorted(g.i for g in got if g.ring_id == r) == kernels.collinear_free(np.array(ps, float)).tolist()
     area = {g.ring_id: g.area for g in curves.category_area(df.where("ring_id < 3"), "ring_id").collect()}
     assert area == {1: 6.0, 2: 12.5}
+
+
+def test_simplified_equals_the_recursive_version(spark):
+    import numpy as np
+
+    from fathom.operators import kernels
+
+    rng = np.random.default_rng(6)
+    angle = np.linspace(0, 2 * np.pi, 150, endpoint=False)
+    shapes = {1: np.round(np.column_stack([np.cos(angle), np.sin(angle)]) * (500 + rng.integers(-30, 30, 150)[:, None])), 2: rng.integers(0, 90, (40, 2)), 3: np.array([[0, 0], [4, 0], [4, 4]]), 4: np.array([[5, 5]]), 5: np.array([[1, 1]] * 4)}
+    rows = [(1, r, 10 + 3 * i, float(x), float(y)) for r, ps in shapes.items() for i, (x, y) in enumerate(ps)]
+    df = spark.createDataFrame(rows, "k int, ring_id long, i int, x double, y double").repartition(3)
+    got = {}
+    for r in curves.simplified(df, 12.5).collect():
+        got.setdefault(r.ring_id, []).append((r.i - 10) // 3)
+    assert {r: sorted(v) for r, v in got.items()} == {r: kernels.simplify_ring(ps.astype(float), 12.5).tolist() for r, ps in shapes.items()}
+    assert curves.simplified(df.limit(0), 1.0).count() == 0
