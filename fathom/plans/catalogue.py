@@ -533,11 +533,35 @@ _CAND = ", ".join("(" + ", ".join(f"{v}e0" if i else str(v) for i, v in enumerat
 _OBJECTIVE = f"c AS (SELECT * FROM (VALUES {_CAND}) v(candidate, dx, dy, sx, sy, theta, off)), p AS (SELECT CAST(l_partkey % 128 AS DOUBLE) + 0.125e0 AS x, CAST(l_orderkey % 96 AS DOUBLE) + 0.375e0 AS y, l_quantity / 6.25e0 AS depth FROM lineitem), m AS (SELECT candidate, dx, dy, sx, sy, theta, off, depth + off AS q, CAST(round_even((y - 48e0) * sy + 48e0 + dy, 0) AS INT) AS cy, CAST(round_even((x - 64e0) * sx + 64e0 + dx, 0) AS INT) AS cx FROM p, c), e AS (SELECT m.*, r.k, greatest(r.k - q, 0) + greatest(q - (r.k + 1), 0) AS err FROM m LEFT JOIN raster r ON r.y = cy AND r.x = cx), a AS (SELECT candidate, dx, dy, sx, sy, theta, off, avg(CASE WHEN k IS NULL THEN NULL WHEN err < 0.5 THEN err * err ELSE 0.25e0 + (err - 0.5e0) * 0.5e0 END) AS fit, avg(CASE WHEN k IS NULL THEN 0e0 ELSE 1e0 END) AS valid FROM e GROUP BY ALL) SELECT CAST(candidate AS INT) AS candidate, round(CASE WHEN valid < 0.5 THEN 10 + (0.5e0 - valid) * 20 ELSE fit + 0.7e0 * (1 - valid) + 2e-3 * (dx / 30 * dx / 30 + dy / 30 * dy / 30) + 3e-2 * ((sx - 1) / 25e-3) * ((sx - 1) / 25e-3) + 3e-2 * ((sy - 1) / 25e-3) * ((sy - 1) / 25e-3) + 2e-3 * (off / 0.5e0) * (off / 0.5e0) END, 6) AS objective FROM a"
 
 
+def _survey_points(spark: SparkSession, d: str) -> DataFrame:
+    return C.table(spark, d, "lineitem").select(((F.col("l_partkey") % 128).cast("double") + 0.125).alias("x"), ((F.col("l_orderkey") % 96).cast("double") + 0.375).alias("y"), (F.col("l_quantity") / 6.25).alias("depth"))
+
+
 @query("calibrate_objective", sql(_OBJECTIVE, "raster"))
 def calibrate_objective(spark, d):
-    points = C.table(spark, d, "lineitem").select(((F.col("l_partkey") % 128).cast("double") + 0.125).alias("x"), ((F.col("l_orderkey") % 96).cast("double") + 0.375).alias("y"), (F.col("l_quantity") / 6.25).alias("depth"))
     candidates = spark.createDataFrame(_CANDIDATES, "candidate int, dx double, dy double, sx double, sy double, theta double, off double")
-    return rounded(calibrate.objectives(points, C.raster(spark, d), candidates, 64.0, 48.0))
+    return rounded(calibrate.objectives(_survey_points(spark, d), C.raster(spark, d), candidates, 64.0, 48.0))
+
+
+_ON_CELLS = "e AS (SELECT l_quantity / 6.25e0 AS q, r.k, greatest(r.k - l_quantity / 6.25e0, 0) + greatest(l_quantity / 6.25e0 - (r.k + 1), 0) AS err FROM lineitem LEFT JOIN raster r ON r.y = l_orderkey % 96 AND r.x = l_partkey % 128 AND r.k > 2)"
+_HUBER = "CASE WHEN k IS NULL THEN NULL WHEN err < 0.5 THEN err * err ELSE 0.25e0 + (err - 0.5e0) * 0.5e0 END"
+
+
+@query("calibration_report", sql(_ON_CELLS + " SELECT round(avg(CASE WHEN k IS NULL THEN 0e0 ELSE 1e0 END), 6) AS valid_fraction, round(avg(CASE WHEN k IS NOT NULL THEN CASE WHEN err = 0 THEN 1e0 ELSE 0e0 END END), 6) AS in_band, round(avg(CASE WHEN k IS NOT NULL THEN err END), 6) AS mean_error, round(median(CASE WHEN k IS NOT NULL THEN abs(q - (k + 0.5e0)) END), 6) AS median_mid_error FROM e", "raster"))
+def calibration_report(spark, d):
+    """How points fit the cells of classes over 2 under them."""
+    p = _survey_points(spark, d).withColumns({"cell_y": F.floor("y").cast("int"), "cell_x": F.floor("x").cast("int")})
+    met = p.join(C.raster(spark, d).where("k > 2").select(F.col("y").alias("cell_y"), F.col("x").alias("cell_x"), "k"), ["cell_y", "cell_x"], "left")
+    return rounded(calibrate.fit_report(met, F.col("k"), F.col("depth")))
+
+
+@query("calibrate_fit", sql(_ON_CELLS.replace(" AND r.k > 2", "") + f" SELECT round(avg({_HUBER}), 6) AS unmoved, true AS no_worse FROM e", "raster"))
+def calibrate_fit(spark, d):
+    """Evolution, then the simplex, one job for each generation: the objective without a transform, and that the fit is no worse."""
+    points, cells = _survey_points(spark, d), C.raster(spark, d)
+    _, fitted = calibrate.calibrate(points, cells, size=8, generations=3, rounds=4)
+    still = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0)], "candidate int, " + ", ".join(f"{n} double" for n in calibrate.PARAMETERS))
+    return rounded(calibrate.objectives(points, cells, still, 64.0, 48.0).select(F.col("objective").alias("unmoved"), (F.lit(fitted) <= F.col("objective")).alias("no_worse")))
 
 
 _SWATCH = "s AS (SELECT CAST(s_nationkey % 5 AS INT) AS page, 100 + s_suppkey % 3 + 0e0 AS cx, s_suppkey * 30 + (s_suppkey * s_suppkey) % 7 + 0e0 AS cy FROM supplier), g AS (SELECT *, lead(cy) OVER (PARTITION BY page ORDER BY cy) - cy AS gap FROM s), r AS (SELECT page, cy, count(*) OVER w AS n, stddev_pop(gap) OVER v / (avg(gap) OVER v + 1e-9) + 3e-3 * stddev_pop(cx) OVER w AS score FROM g WINDOW w AS (PARTITION BY page ORDER BY cy ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), v AS (PARTITION BY page ORDER BY cy ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))"
