@@ -180,15 +180,10 @@ def size_ratio(now: DataFrame, before: DataFrame, key: str, size: str = "bytes")
 
 
 def simplify_metric(rings: DataFrame, tolerance: float = 1.5) -> DataFrame:
-    """Rings of degrees (k, ring_id, i, x, y) simplified to so many metres of the national grid; indices of what stays."""
+    """Rings of degrees (k, ring_id, i, x, y) simplified to so many metres of the national grid, without meeting themselves anew."""
     east, north = E.lambert93(F.col("x"), F.col("y"))
     metric = rings.select("k", "ring_id", "i", east.alias("x"), north.alias("y"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        return p.iloc[kernels.simplify_ring(p[["x", "y"]].to_numpy(float), tolerance)][["k", "ring_id", "i"]]
-
-    kept = metric.groupBy("k", "ring_id").applyInPandas(run, "k int, ring_id long, i int")
+    kept = curves.simplified_valid(metric, tolerance).select("k", "ring_id", "i")
     return rings.join(kept, ["k", "ring_id", "i"], "left_semi")
 
 

@@ -508,6 +508,28 @@ def douglas_peucker(spark, d):
     return curves.simplified(C.rings(spark, d), 4.0)
 
 
+_MEET = """z AS (SELECT k, ring_id, i, x AS ax, y AS ay, nx AS bx, ny AS by FROM around), m AS (SELECT a.k, a.ring_id FROM z a JOIN z b ON b.k = a.k AND b.ring_id = a.ring_id AND a.i + 1 < b.i AND b.i - a.i < 11
+WHERE sign((a.bx - a.ax) * (b.ay - a.ay) - (a.by - a.ay) * (b.ax - a.ax)) * sign((a.bx - a.ax) * (b.by - a.ay) - (a.by - a.ay) * (b.bx - a.ax)) <= 0
+  AND sign((b.bx - b.ax) * (a.ay - b.ay) - (b.by - b.ay) * (a.ax - b.ax)) * sign((b.bx - b.ax) * (a.by - b.ay) - (b.by - b.ay) * (a.bx - b.ax)) <= 0
+  AND greatest(a.ax, a.bx) >= least(b.ax, b.bx) AND greatest(b.ax, b.bx) >= least(a.ax, a.bx) AND greatest(a.ay, a.by) >= least(b.ay, b.by) AND greatest(b.ay, b.by) >= least(a.ay, a.by))"""
+
+
+@query("self_crossing", f"WITH plain AS ({C.VIEWS['rings']}), rings AS (SELECT k, ring_id, CASE WHEN ring_id % 3 = 0 THEN i * 5 % 12 ELSE i END AS i, x, y FROM plain), around AS ({C.VIEWS['around']}), {_MEET} SELECT k, ring_id, count(*) AS n FROM m GROUP BY 1, 2")
+def self_crossing(spark, d):
+    """Rings that meet themselves, and at how many pairs of sides; a third of the rings are strung as stars."""
+    strung = C.rings(spark, d).withColumn("i", F.when(F.col("ring_id") % 3 == 0, F.col("i") * 5 % 12).otherwise(F.col("i")))
+    return curves.crossings(strung, 40.0).groupBy("k", "ring_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("simplify_valid", sql(_MEET + ", c AS (SELECT DISTINCT k, ring_id FROM m) SELECT r.k, count(DISTINCT r.ring_id) AS rings, count(DISTINCT c.ring_id) AS crossed FROM rings r LEFT JOIN c ON c.k = r.k AND c.ring_id = r.ring_id GROUP BY 1", "rings", "around"))
+def simplify_valid(spark, d):
+    """Rings simplified to within 20 by class, and those that meet themselves: no others than before."""
+    found = curves.simplified_valid(C.rings(spark, d), 20.0)
+    crossed = curves.crossings(found, 40.0).select("k", "ring_id").distinct().withColumn("crossed", F.lit(1))
+    each = found.select("k", "ring_id").distinct().join(crossed, ["k", "ring_id"], "left")
+    return each.groupBy("k").agg(F.count(F.lit(1)).alias("rings"), F.count("crossed").alias("crossed"))
+
+
 @query("svg_path", sql("SELECT k, ring_id, 'M ' || string_agg(printf('%.1f,%.1f', x, y), ' L ' ORDER BY i) || ' Z' AS d FROM rings GROUP BY 1, 2", "rings"))
 def svg_path(spark, d):
     return curves.svg_paths(C.rings(spark, d), 1)

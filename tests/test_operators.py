@@ -301,3 +301,25 @@ def test_simplified_equals_the_recursive_version(spark):
         got.setdefault(r.ring_id, []).append((r.i - 10) // 3)
     assert {r: sorted(v) for r, v in got.items()} == {r: kernels.simplify_ring(ps.astype(float), 12.5).tolist() for r, ps in shapes.items()}
     assert curves.simplified(df.limit(0), 1.0).count() == 0
+
+
+def test_valid_simplify_puts_points_back(spark):
+    import numpy as np
+
+    from fathom.operators import kernels
+
+    # The second ring's long side bulges out, a notch reaches into the bulge, and simplifying cuts the bulge off.
+    ring = [(0, 0), (100, 0), (100, 40), (60, 40), (52, 12), (50, 8), (48, 12), (40, 40), (0, 40)]
+    bay = [(0, 0), (30, -1), (45, -5), (50, -6), (55, -5), (70, -1), (100, 0), (100, 40), (60, 40), (51, -2), (50, -3), (49, -2), (40, 40), (0, 40)]
+    rows = [(0, r, i, float(x), float(y)) for r, ps in ((1, ring), (2, bay)) for i, (x, y) in enumerate(ps)]
+    df = spark.createDataFrame(rows, "k int, ring_id long, i int, x double, y double")
+    pairs = lambda d: {(r.ring_id, r.a, r.b) for r in curves.crossings(d, 15.0).collect()}
+    assert pairs(df) == set()
+    plain = curves.simplified(df, 6.5)
+    assert sorted(r.i for r in plain.where("ring_id = 2").collect()) == kernels.simplify_ring(np.array(bay, float), 6.5).tolist()
+    assert {r for r, _, _ in pairs(plain)} == {2}
+    valid = curves.simplified_valid(df, 6.5)
+    assert pairs(valid) == set() and plain.count() < valid.count() < df.count()
+    star = spark.createDataFrame([(0, 1, i, *map(float, p)) for i, p in enumerate([(0, 0), (10, 10), (10, 0), (0, 10)])], "k int, ring_id long, i int, x double, y double")
+    assert pairs(star) == {(1, 0, 2)} and curves.simplified_valid(star, 1.0).count() == 4
+    assert curves.simplified_valid(df.limit(0), 1.0).count() == 0
