@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from fathom import model as M
 from fathom.functions import exprs as E
-from fathom.operators import calibrate, contour, curves, distance, kernels, mapping, qc, raster, relational, spatial, tiles
+from fathom.operators import calibrate, contour, curves, distance, kernels, mapping, overlay, qc, raster, relational, spatial, tiles
 from fathom.plans import carriers as C
 from fathom.plans.carriers import NX, NY, sql
 from fathom.shared import Tables, checkpointed
@@ -530,6 +530,30 @@ def simplify_valid(spark, d):
     return each.groupBy("k").agg(F.count(F.lit(1)).alias("rings"), F.count("crossed").alias("crossed"))
 
 
+def _overlay_sql() -> str:
+    """All edges of a class against all, and below every cut's middle the heights of what covers it."""
+    at = lambda e, x: f"({e}.y1 + ({x} - {e}.x1) * (({e}.y2 - {e}.y1) / ({e}.x2 - {e}.x1)))"
+    low, high = "greatest(a.x1, b.x1)", "least(a.x2, b.x2)"
+    return sql(
+        f"""e AS MATERIALIZED (SELECT k, ring_id, least(x, nx) AS x1, CASE WHEN x < nx THEN y ELSE ny END AS y1, greatest(x, nx) AS x2, CASE WHEN x < nx THEN ny ELSE y END AS y2 FROM around WHERE x <> nx),
+w AS (SELECT a.k, a.x1 AS x FROM e a UNION SELECT a.k, a.x2 FROM e a UNION SELECT a.k, {low} + ({high} - {low}) * (({at('a', low)} - {at('b', low)}) / (({at('a', low)} - {at('b', low)}) - ({at('a', high)} - {at('b', high)})))
+  FROM e a JOIN e b ON a.k = b.k AND a.ring_id < b.ring_id AND {low} < {high} WHERE ({at('a', low)} - {at('b', low)}) * ({at('a', high)} - {at('b', high)}) < 0),
+s AS MATERIALIZED (SELECT k, x AS u, lead(x) OVER (PARTITION BY k ORDER BY x) AS v FROM w),
+h AS MATERIALIZED (SELECT s.k, u, v, e.ring_id, {at('e', '(u + v) / 2')} AS y FROM s JOIN e ON e.k = s.k AND e.x1 < (u + v) / 2 AND (u + v) / 2 < e.x2 WHERE v - u > 1e-9),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, u, ring_id ORDER BY y) % 2 AS enters FROM h),
+c AS (SELECT *, sum(CASE WHEN enters = 1 THEN 1 ELSE -1 END) OVER (PARTITION BY k, u ORDER BY y, enters DESC ROWS UNBOUNDED PRECEDING) AS n, lead(y) OVER (PARTITION BY k, u ORDER BY y, enters DESC) - y AS dy FROM p)
+SELECT k, round(sum(CASE WHEN n > 0 THEN dy * (v - u) ELSE 0 END), 2) AS union_area, round(sum(CASE WHEN n % 2 = 1 THEN dy * (v - u) ELSE 0 END), 2) AS odd_area, round(sum(n * coalesce(dy, 0) * (v - u)), 2) AS sum_area FROM c GROUP BY 1""",
+        "rings", "around",
+    )
+
+
+@query("overlay_areas", _overlay_sql())
+def overlay_areas(spark, d):
+    """Area of the union, of the symmetric difference, and of all rings of each class."""
+    found = overlay.areas(overlay.ring_edges(C.rings(spark, d), "k", "ring_id"))
+    return found.select(F.col("by").alias("k"), *(F.round(c, 2).alias(c) for c in ("union_area", "odd_area", "sum_area")))
+
+
 @query("svg_path", sql("SELECT k, ring_id, 'M ' || string_agg(printf('%.1f,%.1f', x, y), ' L ' ORDER BY i) || ' Z' AS d FROM rings GROUP BY 1, 2", "rings"))
 def svg_path(spark, d):
     return curves.svg_paths(C.rings(spark, d), 1)
