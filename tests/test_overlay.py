@@ -45,3 +45,15 @@ def test_cells(spark):
 def test_no_rings(spark):
     df = spark.createDataFrame([], "k int, ring_id long, i int, x double, y double")
     assert overlay.areas(overlay.ring_edges(df, "k", "ring_id")).select(F.count("*")).first()[0] == 0
+
+
+def test_many_rings_over_each_other(spark):
+    """Copies are laid over the others once: 150 different octagons that all meet, twenty times each and one of them once more."""
+    rng = random.Random(5)
+    distinct = [[(rng.randrange(40) + dx, rng.randrange(40) + dy) for dx, dy in ((10, 0), (30, 0), (40, 10), (40, 30), (30, 40), (10, 40), (0, 30), (0, 10))] for _ in range(150)]
+    once = overlay.ring_edges(spark.createDataFrame([(1, g, i, float(x), float(y)) for g, ps in enumerate(distinct) for i, (x, y) in enumerate(ps)], "k int, ring_id long, i int, x double, y double"), "k", "ring_id")
+    copies = once.withColumn("geom", F.explode(F.sequence(F.col("geom"), F.col("geom") + F.when(F.col("geom") == 7, 20000).otherwise(19000), F.lit(1000))))
+    assert overlay._weighted(copies).select("geom", "m").distinct().count() == 150
+    a, b, one = overlay.areas(once).first(), overlay.areas(copies).first(), overlay.areas(once.where("geom = 7")).first()
+    assert abs(a.union_area - b.union_area) < 1e-6 and abs(b.odd_area - one.odd_area) < 1e-6
+    assert abs(b.sum_area - 20 * a.sum_area - one.sum_area) < 1e-4
