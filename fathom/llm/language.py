@@ -127,6 +127,11 @@ def coded(rows: DataFrame, block_chars: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def _large(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, though the compressed file that Spark goes by may be small."""
+    return table.hint("merge")
+
+
 def evidence(counts: DataFrame, key: str) -> DataFrame:
     """Rows (key, lang, v) of rows (key, lang, n): the log frequency in the language relative to the shared one, which all languages have."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("n"))
@@ -156,11 +161,11 @@ def spelt(unseen: DataFrame, counts: DataFrame, order: int, tables: Tables) -> I
         by_gram = evidence(known, "gram").groupBy("gram").agg(F.collect_list(F.struct("lang", "v")).alias("of"))
         # Every n-gram is dealt out alike: the commonest has a few per cent of all places in any language.
         salted = by_gram.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"]).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("of")).alias("of"))
+        met = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(_large(salted), ["gram", "salt"]).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.flatten(F.collect_list("of")).alias("of"))
         means = met.select("id", "k", F.inline("of")).groupBy("id", "lang").agg(F.round(F.sum("v") / F.first("k"), 9).alias("v"))
         found = tables.written(means, "spelt")
-        yield unseen.join(found, "id").select("word", "lang", "v")
-        unseen = tables.written(unseen.join(found.select("id").distinct(), "id", "left_anti"), "unseen")
+        yield unseen.join(_large(found), "id").select("word", "lang", "v")
+        unseen = tables.written(unseen.join(_large(found.select("id").distinct()), "id", "left_anti"), "unseen")
 
 
 def _judge(priors: dict[str, int]):
@@ -205,12 +210,12 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
         priors = {r.train: r.n for r in table.where("doc and train is not null").groupBy("train").agg(F.count(F.lit(1)).alias("n")).collect()}
         counts = words.select("word", F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("counts").alias("n"))))
         counts = tables.written(counts.repartition("word").groupBy("word", "lang").agg(F.sum("n").alias("n")), "counts")
-        unseen = words.select("word").distinct().join(counts.select("word").distinct(), "word", "left_anti")
+        unseen = words.select("word").distinct().join(_large(counts.select("word").distinct()), "word", "left_anti")
         unseen = tables.written(unseen.select(F.monotonically_increasing_id().alias("id"), "word"), "unseen")
         known = evidence(counts, "word")
         for found in spelt(unseen, counts, order, tables):
             known = known.union(found)
-        hits = tables.written(words.select("block", "idx", "word").join(known, "word").select("block", "idx", "lang", "v"), "hits")
+        hits = tables.written(words.select("block", "idx", "word").join(_large(known), "word").select("block", "idx", "lang", "v"), "hits")
         out = StructType([table.schema["keep"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
         bags = table.where("doc").select(F.col("block").alias("of"), "keep", "letters", "bag")
         judged = bags.groupBy("of").cogroup(hits.groupBy("block")).applyInArrow(_judge(priors), out)
