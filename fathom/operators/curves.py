@@ -11,6 +11,8 @@ from fathom.operators.graph import dealt_join
 from fathom.shared import Tables
 
 KEYS = ("k", "ring_id")
+#: Sides of the longest ring whose sides are compared without cells.
+FEW_SIDES = 32
 
 
 def _ordered(keys: tuple[str, ...] = KEYS):
@@ -93,11 +95,11 @@ def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
     it if it is off by more than the tolerance, and deals the others to the halves. Of equally far ones the first counts. Comparisons are of
     squares without a division, exact for integer coordinates. Rounds are as many as the deepest ring has levels.
     """
-    place = F.row_number().over(_ordered()) - 1
-    each = rings.select(*KEYS, "i", "x", "y", place.alias("at"))
-    ends = each.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("x", "y"), "at").alias("a"))
+    w = _ordered()
+    first = F.first(F.struct("x", "y")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = rings.select(*KEYS, "i", "x", "y", (F.row_number().over(w) - 1).alias("at"), first.alias("a"))
     with Tables(rings.sparkSession) as tables:
-        begun = each.join(ends, list(KEYS)).select(F.struct(*KEYS, F.lit(0).alias("from")).alias("segment"), "i", "at", F.struct("x", "y").alias("p"), "a", F.col("a").alias("b"))
+        begun = each.select(F.struct(*KEYS, F.lit(0).alias("from")).alias("segment"), "i", "at", F.struct("x", "y").alias("p"), "a", F.col("a").alias("b"))
         begun = tables.written(begun, "begun")
         kept, open_ = begun.where("at = 0").select("segment", "i", "p"), begun.where("at > 0")
         dx, dy = (F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xy")
@@ -124,47 +126,58 @@ def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
 def crossings(rings: DataFrame, cell: float) -> DataFrame:
     """(keys, a, b): places of the sides, a < b, of a ring that meet though they are no neighbours. A side begins at the point of its place.
 
-    Sides meet in square cells that their boxes cover, within their ring. The places of a ring's points need not follow each other.
+    Sides of a ring of up to ``FEW_SIDES`` are compared as they stand together, those of longer ones in square cells that their boxes cover. The places of a ring's points need not follow each other.
     """
+    longest = rings.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     w = _ordered()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
     side = rings.select(*KEYS, "i", "x", "y", (F.row_number().over(w) - 1).alias("at"), F.count(F.lit(1)).over(Window.partitionBy(*KEYS)).alias("size"), after("x").alias("nx"), after("y").alias("ny"))
-    over = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
-    placed = side.withColumn("cx", over("x", "nx")).withColumn("cy", over("y", "ny"))
     shape = F.struct("i", "at", "size", "x", "y", "nx", "ny")
-    a, b = (placed.select(*KEYS, "cx", "cy", shape.alias(n)) for n in "ab")
-    met = a.join(b.hint("merge"), [*KEYS, "cx", "cy"]).where("a.at + 1 < b.at and b.at - a.at < a.size - 1")
     turn = lambda p, q: F.signum((F.col(f"{p}.nx") - F.col(f"{p}.x")) * (q[1] - F.col(f"{p}.y")) - (F.col(f"{p}.ny") - F.col(f"{p}.y")) * (q[0] - F.col(f"{p}.x")))
     ends = lambda p: ((F.col(f"{p}.x"), F.col(f"{p}.y")), (F.col(f"{p}.nx"), F.col(f"{p}.ny")))
     apart = lambda p, q: turn(p, ends(q)[0]) * turn(p, ends(q)[1]) > 0
     boxed = lambda n, m: (F.greatest(f"a.{n}", f"a.{m}") >= F.least(f"b.{n}", f"b.{m}")) & (F.greatest(f"b.{n}", f"b.{m}") >= F.least(f"a.{n}", f"a.{m}"))
-    return met.where(~apart("a", "b") & ~apart("b", "a") & boxed("x", "nx") & boxed("y", "ny")).select(*KEYS, F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
+    meet = lambda d: d.where("a.at + 1 < b.at and b.at - a.at < a.size - 1").where(boxed("x", "nx") & boxed("y", "ny") & ~apart("a", "b") & ~apart("b", "a")).select(*KEYS, F.col("a.i").alias("a"), F.col("b.i").alias("b"))
+    together = side.where(F.col("size") <= FEW_SIDES).groupBy(*KEYS).agg(F.collect_list(shape).alias("sides"))
+    met = meet(together.select(*KEYS, "sides", F.explode("sides").alias("a")).select(*KEYS, "a", F.explode("sides").alias("b")))
+    if longest <= FEW_SIDES:
+        return met
+    over = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    placed = side.where(F.col("size") > FEW_SIDES).withColumn("cx", over("x", "nx")).withColumn("cy", over("y", "ny"))
+    a, b = (placed.select(*KEYS, "cx", "cy", shape.alias(n)) for n in "ab")
+    return met.union(meet(a.join(b.hint("merge"), [*KEYS, "cx", "cy"])).distinct())
 
 
 def simplified_valid(rings: DataFrame, tolerance: float) -> DataFrame:
     """simplified(), with points put back until no ring meets itself that has points left to put back.
 
-    Each round gives every side that meets another the farthest of the points it left out. A ring that met itself from the begin ends as it was there.
+    Each round gives every side that meets another the farthest of the points it left out, and looks at the rings again that got some. A ring that met itself from the begin ends as it was there.
     """
     with Tables(rings.sparkSession) as tables:
         kept = tables.written(simplified(rings, tolerance), "kept")
         length = F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2)
         cell = 2.0 * (with_neighbours(kept).agg(F.avg(length)).first()[0] or 0.0) or 1.0
+        now, keys = kept, list(KEYS)
         while True:
-            met = crossings(kept, cell)
-            bad = tables.written(met.select(*KEYS, F.explode(F.array("a", "b")).alias("begin")).distinct(), "crossing")
+            bad = tables.written(crossings(now, cell).select(*KEYS, F.explode(F.array("a", "b")).alias("begin")).distinct(), "crossing")
+            if bad.isEmpty():
+                break
+            which = bad.select(*KEYS).distinct().hint("merge")
+            now = now.join(which, keys, "left_semi")
             w = _ordered()
-            spans = with_neighbours(kept).withColumn("end", F.lead("i").over(w)).select(*KEYS, F.col("i").alias("begin"), "end", "x", "y", "nx", "ny").join(bad, [*KEYS, "begin"])
-            left = rings.join(kept.select(*KEYS, "i"), [*KEYS, "i"], "left_anti")
+            spans = with_neighbours(now).withColumn("end", F.lead("i").over(w)).select(*KEYS, F.col("i").alias("begin"), "end", "x", "y", "nx", "ny").join(bad.hint("merge"), [*keys, "begin"])
+            left = rings.join(which, keys, "left_semi").join(now.select(*KEYS, "i").hint("merge"), [*keys, "i"], "left_anti")
             # The last side runs round to the first point.
-            within = left.select(*KEYS, "i", F.struct("x", "y").alias("p")).join(spans, list(KEYS)).where("i > begin and (end is null or i < end)")
+            within = left.select(*KEYS, "i", F.struct("x", "y").alias("p")).join(spans.hint("merge"), keys).where("i > begin and (end is null or i < end)")
             dx, dy, px, py = F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), F.col("p.x") - F.col("x"), F.col("p.y") - F.col("y")
             far = F.struct(F.abs(px * dy - py * dx), px * px + py * py, -F.col("i"))
             back = tables.written(within.groupBy(*KEYS, "begin").agg(F.max_by(F.struct("i", "p"), far).alias("m")).select(*KEYS, "m.i", "m.p.x", "m.p.y"), "back")
             if back.isEmpty():
-                return tables.kept(kept, "simplified")
-            kept = tables.written(kept.unionByName(back), "kept")
+                break
+            kept = kept.unionByName(back)
+            now = tables.written(now.join(back.select(*KEYS).distinct().hint("merge"), keys, "left_semi").unionByName(back), "again")
+        return tables.kept(kept, "simplified")
 
 
 def category_area(rings: DataFrame, by: str) -> DataFrame:

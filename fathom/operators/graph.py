@@ -12,14 +12,13 @@ def dealt_join(rows: DataFrame, one_each: DataFrame, key: str, salt: Column, tot
     """Inner join with a table of one row a key and the number ``n`` of rows that have it, of ``total`` in all.
 
     A key with over half of what a shuffle partition has on average is dealt over several places. There are at most twice as many such
-    keys as partitions, so that they may be broadcast.
-    """
+keys as partitions, so that they may be broadcast; the table itself never is, as a small file may be large in memory.    """
     part = max(1, total // (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     pieces = F.ceil(F.col("n") / F.lit(part)).cast("int")
     hot = F.broadcast(one_each.where(F.col("n") > part).select(key, pieces.alias("pieces")))
     left = rows.join(hot, key, "left").withColumn("place", F.pmod(salt, F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
     right = one_each.withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop("n")
-    return left.join(right, [key, "place"]).drop("place")
+    return left.join(right.hint("merge"), [key, "place"]).drop("place")
 
 
 def _to_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
